@@ -5,10 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, mixing
+from . import embedding_dedup, fingerprint, jaccard_join, line_dedup, mixing, quality, secrets, toxicity
 from .common import read
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    out = toxicity.held_out("doc_id", 4, 2)
+    model = toxicity.fit(docs, labels.where(~out))
+    return toxicity.score(docs, model).select("doc_id", out.alias("held_out"), "score", "predicted")
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup.dedup_lines(read(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -18,5 +25,29 @@ def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fingerprint.compare_with_edited(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan_secrets(read(spark, sf_dir, "documents"))
+
+
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(read(spark, sf_dir, "documents"), k=4, percent=85)
+
+
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_vectors(read(spark, sf_dir, "embeddings"))
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    out = toxicity.held_out("doc_id", 3, 1)
+    model = quality.fit(docs, labels.where(~out))
+    return quality.score(docs, model).select("doc_id", out.alias("held_out"), "score", "predicted")
+
+
 def queries() -> dict:
-    return {"op2_line_dedup": op2_line_dedup, "op3_source_mix": op3_source_mix}
+    return {f.__name__: f for f in (op1_toxicity, op2_line_dedup, op3_source_mix, op4_fingerprint, op5_secret_scan, op7_jaccard_join, op9_embedding_dedup, op10_quality)}
