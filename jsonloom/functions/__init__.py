@@ -1 +1 @@
-"""Part of the JSON document engine."""
+"""Row-local column functions: lexing, scalars, strings, errors."""

@@ -1 +1,5 @@
-"""Part of the JSON document engine."""
+"""Options and plan choices."""
+
+from .options import ParseOptions
+
+__all__ = ["ParseOptions"]
