@@ -60,9 +60,10 @@ def _runs(drops: DataFrame) -> DataFrame:
     return per_doc.select("doc_id", runs.alias("runs"), "n_dropped")
 
 
-def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text, n_lines, n_dropped) of every document, its text without the dropped lines."""
-    d = pick(docs, doc_id=id_col, text=text_col)
+def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """(doc_id, text, n_lines, n_dropped, *keep) of every document, its text without the dropped lines; ``keep`` names columns to carry."""
+    keep = keep or []
+    d = pick(docs, doc_id=id_col, text=text_col, **{f"k{i}": c for i, c in enumerate(keep)})
     b = bitmaps.select(F.col("doc_id").alias("b_id"), "runs", "n_dropped")
     both = d.join(b, d.doc_id.eqNullSafe(b.b_id), "left")
     lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
@@ -72,7 +73,8 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", t
     starts = F.filter("ends", lambda e, i: i % 2 == 0)
     kept = F.flatten(F.transform(starts, lambda s, i: F.slice("ls", s + 1, F.coalesce(F.get("runs", i * 2), F.size("ls")))))
     text = F.when(F.col("runs").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(kept, "\n"))
-    return both.select("doc_id", text.alias("text"), F.size("ls").cast("bigint").alias("n_lines"), F.coalesce("n_dropped", F.lit(0)).cast("bigint").alias("n_dropped"))
+    counts = F.size("ls").cast("bigint").alias("n_lines"), F.coalesce("n_dropped", F.lit(0)).cast("bigint").alias("n_dropped")
+    return both.select("doc_id", text.alias("text"), *counts, *[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)])
 
 
 def _prefix(runs: str) -> Column:

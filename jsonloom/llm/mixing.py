@@ -85,3 +85,31 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: fl
     """
     sized = table(sizes(docs, id_col, text_col, source_col))
     return mix(sized, targets(sized, weights, share, most), seed)
+
+
+def apply_mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """``docs`` as the mix takes them, with all their columns.
+
+    A document comes as often as the mix takes it whole and, at its source's
+    cut, once more with its first words only (a row of empty text where the
+    cut is before its first word does not come). Documents of no words come
+    once per whole epoch of their source. Rows that share doc_id, source and
+    size are numbered on both sides and matched one to one.
+    """
+    names = docs.columns
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    i, t, s = (f"c{names.index(c)}" for c in (id_col, text_col, source_col))
+    mixed = mix_sources(docs, weights, share, most, seed, id_col, text_col, source_col)
+    mixed = mixed.withColumn("epochs", F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).when(F.col("source_size") > 0, F.floor((F.col("target") + 0.5) / F.col("source_size"))).otherwise(F.lit(1)).cast("int"))
+    mixed = mixed.withColumn("part", F.col("taken") - F.col("epochs") * F.col("size")).where("epochs > 0 OR part > 0")
+    mixed = mixed.select(F.col("doc_id").alias("m_id"), F.col("source").alias("m_source"), F.col("size").alias("m_size"), "epochs", "part")
+    mixed = mixed.withColumn("m_n", F.row_number().over(Window.partitionBy("m_id", "m_source", "m_size").orderBy("epochs", "part")))
+    plain = plain.withColumn("size", F.coalesce(F.regexp_count(t, F.lit(WORD)), F.lit(0)).cast("bigint"))
+    plain = plain.withColumn("n", F.row_number().over(Window.partitionBy(i, s, "size").orderBy(t)))
+    both = plain.join(mixed, F.col(i).eqNullSafe(F.col("m_id")) & F.col(s).eqNullSafe(F.col("m_source")) & (F.col("size") == F.col("m_size")) & (F.col("n") == F.col("m_n")))
+    whole = F.when(F.col("epochs") > 0, F.array_repeat(F.lit(None).cast("bigint"), F.col("epochs"))).otherwise(F.array().cast("array<bigint>"))
+    cut = F.when(F.col("part") > 0, F.array("part")).otherwise(F.array().cast("array<bigint>"))
+    both = both.withColumn("words", F.explode(F.concat(whole, cut)))
+    first = F.array_join(F.slice(F.regexp_extract_all(t, F.lit(f"[\\x20\\x09-\\x0D]*{WORD}"), F.lit(0)), F.lit(1), F.col("words").cast("int")), "")
+    text = F.when(F.col("words").isNull(), F.col(t)).otherwise(first)
+    return both.withColumn(t, text).select(*[F.col(f"c{k}") for k in range(len(names))]).toDF(*names)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, fingerprint, jaccard_join, line_dedup, mixing, quality, secrets, toxicity
+from . import embedding_dedup, fingerprint, jaccard_join, line_dedup, mixing, packing, quality, secrets, surrogates, toxicity
 from .common import read
 
 
@@ -34,10 +34,29 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(read(spark, sf_dir, "documents"))
 
 
+def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
+    """Where a public tokenizer's file is on this machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(read(spark, sf_dir, "documents"), tokenizer_file())
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(read(spark, sf_dir, "documents"), k=4, percent=85)
 
 
+#: The key of the registered query; a user of the operator brings a secret one.
+KEY = b"an example key of the query"
+
+
+def op8_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.replace_pii(read(spark, sf_dir, "documents"), KEY)
+
+
 def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_vectors(read(spark, sf_dir, "embeddings"))
 
@@ -50,4 +69,4 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op2_line_dedup, op3_source_mix, op4_fingerprint, op5_secret_scan, op7_jaccard_join, op9_embedding_dedup, op10_quality)}
+    return {f.__name__: f for f in (op1_toxicity, op2_line_dedup, op3_source_mix, op4_fingerprint, op5_secret_scan, op6_packing, op7_jaccard_join, op8_pii_surrogates, op9_embedding_dedup, op10_quality)}
