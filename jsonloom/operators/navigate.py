@@ -9,8 +9,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.lex import NUMBER, SPACE
+from ..functions.lex import SPACE
 from ..functions.scalars import number_kind
 
 #: Nesting from which the JVM's JSON functions refuse a text; deeper ones are navigated as nodes.
@@ -50,10 +51,14 @@ def at(text: Column, i: int) -> Column:
 
 
 def get_i64(text: Column, key: str) -> Column:
-    """A member as a 64-bit integer; null for every other kind, strings of digits too."""
-    held = F.from_json(F.concat(F.lit("["), F.get_json_object(text, _path(key)), F.lit("]")), "array<string>")
-    value = F.get(held, F.lit(0))
-    return F.when(first_byte(text) == "{", F.when(number_kind(value) == "int64", value.try_cast("bigint")))
+    """A member as a 64-bit integer; null for every other kind, strings of digits too.
+
+    Also null where an object holds the key more than once: the JVM's parser
+    would take the last one. The node table has the first.
+    """
+    held = F.from_json(text, T.StructType([T.StructField(key, T.LongType())]))
+    once = F.size(F.filter(F.json_object_keys(text), lambda k: k == key)) <= 1
+    return F.when((first_byte(text) == "{") & once, held[key])
 
 
 def length(text: Column) -> Column:
@@ -76,4 +81,4 @@ def elements(text: Column) -> Column:
     return F.when(first_byte(text) == "[", F.from_json(text, "array<string>"))
 
 
-__all__ = ["NUMBER", "at", "elements", "first_byte", "get", "get_i64", "has", "is_empty", "keys", "kind", "length"]
+__all__ = ["at", "elements", "first_byte", "get", "get_i64", "has", "is_empty", "keys", "kind", "length"]

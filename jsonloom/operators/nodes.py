@@ -15,14 +15,14 @@ from pyspark.sql import functions as F
 from ..functions.scalars import number_kind, scalar_kind, unescape
 from ..plans.options import MAX_COUNT, ParseOptions
 from .tokens import CLOSES, OPENS, by_doc, tokens
-from .validate import parse
+from .validate import gated
 
 KINDS = ("object", "array", "string", "int64", "uint64", "double", "bool", "null")
 
 
 def valid(docs: DataFrame, json_col: str = "json", id_col: str = "doc_id", options: ParseOptions = ParseOptions()) -> DataFrame:
-    """Only the valid documents, as (doc_id, json)."""
-    return parse(docs, json_col, options, id_col).where("ok").select(F.col(id_col).alias("doc_id"), F.col(json_col).cast("string").alias("json"))
+    """Only the valid documents, as (doc_id, json); row-local."""
+    return gated(docs, json_col, options).where("_good").select(F.col(id_col).alias("doc_id"), F.col(json_col).cast("string").alias("json"))
 
 
 def values_of(kind: Column, text: Column) -> dict[str, Column]:

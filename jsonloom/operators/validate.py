@@ -1,8 +1,9 @@
 """Validation: every document gets ``ok`` and an ``error`` with its byte offset.
 
-Most documents are valid and shallow, and one row-local expression proves it
-(``surely_valid``), inside whole-stage code and without a shuffle. Only what
-that leaves open is tokenised, shuffled by document and checked rule by rule.
+The verdict is row-local: most documents are valid and shallow, and one
+expression proves it (``surely_valid``); the others are walked. Neither
+shuffles. Only documents that fail are tokenised, shuffled by document and
+checked rule by rule for the error that they report.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.errors import error
+from ..functions.errors import TYPE, error
 from ..functions.lex import surely_valid, utf8_error
 from ..functions.scalars import is_number, number_kind, string_error
 from ..plans.options import ParseOptions
@@ -106,19 +107,29 @@ def parse(df: DataFrame, json_col: str = "json", options: ParseOptions = ParseOp
     A null document is neither good nor bad: ``ok`` and ``error`` are null.
     With ``strict`` the first failed document that is read fails the job.
     """
-    content = F.col(json_col).cast("binary")
-    d = df.withColumn("_size", F.octet_length(json_col).cast("bigint")).withColumn("_utf8", utf8_error(content))
+    d = gated(df, json_col, options)
     fits = F.col("_size") <= options.max_input_bytes
     text = F.col(json_col).cast("string")
-    d = d.withColumn("_ok", F.when(fits & F.col("_utf8").isNull(), surely_valid(text, options.max_depth)).otherwise(F.lit(False)))
-    doubt = d.where(~F.col("_ok") & fits & F.col("_utf8").isNull() & F.col(json_col).isNotNull()).select(F.col(id_col).alias("doc_id"), text.alias("json"), F.col("_size").alias("size"))
-    failed = first_errors(doubt, options).select(F.col("doc_id").alias("_id"), F.col("offset").alias("_offset"), F.col("code").alias("_code"))
-    both = d.join(failed, F.col(id_col) == F.col("_id"), "left")
-    code = F.when(~fits, "InputTooLarge").when(F.col("_utf8").isNotNull(), "Utf8").otherwise(F.col("_code"))
-    problem = error(code, F.coalesce("_utf8", "_offset"), F.col("_size"), options.max_depth, options.max_input_bytes)
-    if strict:
-        problem = F.when(code.isNotNull(), F.raise_error(problem["message"]).cast("struct<code:string,kind:string,offset:bigint,limit:bigint,message:string>"))
-    return both.select(*df.columns, F.when(F.col(json_col).isNotNull(), code.isNull()).alias("ok"), problem.alias("error"))
+    settled = F.col("_good") | ~fits | F.col("_utf8").isNotNull() | F.col(json_col).isNull()
+
+    def told(rows: DataFrame, code: Column, offset: Column) -> DataFrame:
+        problem = error(code, offset, F.col("_size"), options.max_depth, options.max_input_bytes)
+        if strict:
+            problem = F.when(code.isNotNull(), F.raise_error(problem["message"]).cast(TYPE))
+        return rows.select(*df.columns, F.when(F.col(json_col).isNotNull(), code.isNull()).alias("ok"), problem.alias("error"))
+
+    # only failed documents are shuffled; all others pass by
+    bad = d.where(~settled)
+    failed = first_errors(bad.select(F.col(id_col).alias("doc_id"), text.alias("json"), F.col("_size").alias("size")), options).select(F.col("doc_id").alias("_id"), F.col("offset").alias("_offset"), F.col("code").alias("_code"))
+    known = F.when(~fits, "InputTooLarge").when(F.col("_utf8").isNotNull(), "Utf8")
+    return told(d.where(settled), known, F.col("_utf8")).unionByName(told(bad.join(failed, F.col(id_col) == F.col("_id"), "left"), F.col("_code"), F.col("_offset")))
+
+
+def gated(df: DataFrame, json_col: str, options: ParseOptions) -> DataFrame:
+    """``df`` with ``_size``, ``_utf8`` and the row-local verdict ``_good``, which is exact."""
+    d = df.withColumn("_size", F.octet_length(json_col).cast("bigint")).withColumn("_utf8", utf8_error(F.col(json_col).cast("binary")))
+    fine = (F.col("_size") <= options.max_input_bytes) & F.col("_utf8").isNull()
+    return d.withColumn("_good", F.when(fine, is_valid(F.col(json_col).cast("string"), options)).otherwise(F.lit(False)))
 
 
 def is_valid(text: Column, options: ParseOptions = ParseOptions()) -> Column:

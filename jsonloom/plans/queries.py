@@ -39,6 +39,11 @@ def texts(spark: SparkSession, sf: str) -> DataFrame:
     return to_documents(read(spark, sf, "documents").select("doc_id", "text", "lang"), "doc_id")
 
 
+def parsed(docs: DataFrame) -> DataFrame:
+    """The node table, held for the lookups of one query: in memory, then on disk, and made again where it is lost."""
+    return nodes.nodes(docs).persist()
+
+
 def golden(spark: SparkSession, rows: tuple, ddl: str) -> DataFrame:
     return spark.createDataFrame(list(rows), ddl)
 
@@ -99,7 +104,7 @@ def string_errors(spark, sf):
 
 
 def unescape_roundtrip(spark, sf):
-    n = nodes.nodes(texts(spark, sf))
+    n = parsed(texts(spark, sf))
     return n.where("key = 'text'").select("doc_id", F.col("str").alias("text"))
 
 
@@ -109,7 +114,7 @@ def record_offsets(spark, sf):
 
 
 def get_path(spark, sf):
-    n = nodes.nodes(orders(spark, sf))
+    n = parsed(orders(spark, sf))
     r = nodes.root(n)
     price, status = nodes.get(n, r, "o_totalprice"), nodes.get(n, r, "o_orderstatus")
     return price.select("doc_id", nodes.as_f64().alias("price")).join(status.select("doc_id", nodes.as_str().alias("status")), "doc_id")
@@ -117,7 +122,7 @@ def get_path(spark, sf):
 
 def at_index(spark, sf):
     """Quantity of each order's first and third line item."""
-    n = nodes.nodes(nested(spark, sf))
+    n = parsed(nested(spark, sf))
     lines = nodes.get(n, nodes.root(n), "lines")
     out = None
     for i in (0, 2):
@@ -134,13 +139,13 @@ def row_local_navigation(spark, sf):
 
 
 def entries(spark, sf):
-    n = nodes.nodes(orders(spark, sf))
+    n = parsed(orders(spark, sf))
     e = nodes.entries(n, nodes.root(n))
     return e.groupBy("key", "ordinal", "kind").agg(F.count("*").alias("n"))
 
 
 def elements(spark, sf):
-    n = nodes.nodes(nested(spark, sf))
+    n = parsed(nested(spark, sf))
     lines = nodes.get(n, nodes.root(n), "lines")
     item = nodes.elements(n, lines)
     number = nodes.get(n, item, "l_linenumber").select("doc_id", F.col("parent_id").alias("node_id"), F.col("i64").alias("line"))
@@ -148,14 +153,14 @@ def elements(spark, sf):
 
 
 def descendants(spark, sf):
-    n = nodes.nodes(nested(spark, sf))
+    n = parsed(nested(spark, sf))
     return nodes.descendants(n, nodes.get(n, nodes.root(n), "lines")).groupBy("doc_id").agg(F.count("*").alias("nodes"))
 
 
 def duplicates(spark, sf):
     """First and last of duplicate members, and their number."""
     d = read(spark, sf, "events").select(F.col("event_id").alias("doc_id"), F.concat(F.lit('{"k":'), F.col("event_id").cast("string"), F.lit(',"x":0,"k":'), (F.col("event_id") * 2).cast("string"), F.lit("}")).alias("json"))
-    n = nodes.nodes(d)
+    n = parsed(d)
     r = nodes.root(n)
     first = nodes.get(n, r, "k").select("doc_id", F.col("i64").alias("first"))
     last = nodes.last_of(n, r, "k").select("doc_id", F.col("i64").alias("last"))
@@ -168,13 +173,13 @@ def stats_walk(spark, sf):
 
 
 def typed_struct(spark, sf):
-    n = nodes.nodes(orders(spark, sf))
+    n = parsed(orders(spark, sf))
     schema = T.StructType.fromDDL("o_orderkey bigint, o_orderstatus string, o_totalprice double, absent int")
     return typed.materialize(n, nodes.root(n), schema).where("error IS NULL").select("doc_id", F.col("value.o_orderkey").alias("orderkey"), F.col("value.o_orderstatus").alias("status"), F.col("value.o_totalprice").alias("price"), F.col("value.absent").alias("absent"))
 
 
 def typed_array(spark, sf):
-    n = nodes.nodes(nested(spark, sf))
+    n = parsed(nested(spark, sf))
     schema = T.StructType.fromDDL("lines array<struct<l_linenumber:int,l_quantity:double>>")
     v = typed.materialize(n, nodes.root(n), schema).select("doc_id", F.posexplode("value.lines").alias("i", "x"), "error")
     return v.select("doc_id", "i", F.col("x.l_linenumber").alias("line"), F.col("x.l_quantity").alias("quantity"), F.coalesce("error", F.lit("")).alias("error"))
@@ -182,21 +187,21 @@ def typed_array(spark, sf):
 
 def typed_positional(spark, sf):
     d = golden(spark, [(i, t) for i, (t, *_) in enumerate(POSITIONS)], "doc_id bigint, json string")
-    n = nodes.nodes(d)
+    n = parsed(d)
     v = typed.materialize(n, nodes.root(n), T.StructType.fromDDL("a tinyint, b string"), positional=True)
     return v.select("doc_id", F.col("value.a").cast("int").alias("a"), F.col("value.b").alias("b"), F.coalesce("error", F.lit("")).alias("error"))
 
 
 def typed_map_keys(spark, sf):
     d = golden(spark, [(i, t) for i, (t, *_) in enumerate(MAPS)], "doc_id bigint, json string")
-    n = nodes.nodes(d)
+    n = parsed(d)
     v = typed.materialize(n, nodes.root(n), T.MapType(T.IntegerType(), T.StringType()))
     return v.select("doc_id", F.coalesce(F.array_join(F.transform(F.array_sort(F.map_keys("value")), lambda k: F.concat(k.cast("string"), F.lit("="), F.col("value")[k])), ","), F.lit("null")).alias("entries"), F.col("error").isNotNull().alias("failed"))
 
 
 def typed_enum(spark, sf):
     d = golden(spark, [(i, t) for i, (t, *_) in enumerate(ENUMS)], "doc_id bigint, json string")
-    n = nodes.nodes(d)
+    n = parsed(d)
     e = typed.as_enum(n, nodes.root(n), ["Unit", "Newtype", "Tuple", "Struct"])
     return e.select("doc_id", F.coalesce("variant", F.lit("")).alias("variant"), F.col("payload_id").isNotNull().alias("has_payload"), F.col("error").isNotNull().alias("failed"))
 
@@ -225,7 +230,7 @@ def crossover(spark, sf):
 
 def nodes_relational(spark, sf):
     """Join, aggregate and rank over nodes: the three dearest orders of each status by a member of their documents."""
-    n = nodes.nodes(orders(spark, sf))
+    n = parsed(orders(spark, sf))
     r = nodes.root(n)
     price = nodes.get(n, r, "o_totalprice").select("doc_id", nodes.as_f64().alias("price"))
     o = read(spark, sf, "orders").select(F.col("o_orderkey").alias("doc_id"), F.col("o_orderstatus").alias("status"))
