@@ -190,7 +190,7 @@ def collisions(docs: DataFrame, key: bytes, rounds: int = 32) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = [surrogate(k, c, key, a) for k, c, a in zip(*[batch.column(n).to_pylist() for n in ("kind", "canon", "attempt")], strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.string())], ["kind", "canon", "attempt", "made"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in ("kind", "canon", "attempt")], pa.array(made, pa.string())], ["kind", "canon", "attempt", "made"])
 
     for _ in range(rounds):
         made = held.mapInArrow(run, "kind string, canon string, attempt int, made string")
