@@ -15,11 +15,6 @@ def is_number(token: Column) -> Column:
     return token.rlike("^" + NUMBER + r"\z")
 
 
-def double_of(token: Column) -> Column:
-    """The correctly rounded double of a number token."""
-    return F.when(is_number(token), F.expr("cast(null as double)") if token is None else token.try_cast("double"))
-
-
 def number_kind(token: Column) -> Column:
     """int64, uint64 or double of a number token; null for a bad one and for one that is infinite as a double."""
     whole = ~token.rlike("[.eE]") & (F.length(token) <= 20)

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import number_kind, scalar_kind, unescape
+from ..functions.scalars import scalar_kind, unescape
 from ..plans.options import MAX_COUNT, ParseOptions
 from .tokens import CLOSES, OPENS, by_doc, tokens
 from .validate import gated
@@ -168,5 +168,3 @@ def duplicate_keys(n: DataFrame) -> DataFrame:
     """(doc_id, parent_id, key, n) of the keys that an object holds more than once."""
     return n.where("key IS NOT NULL").groupBy("doc_id", "parent_id", "key").agg(F.count("*").alias("n")).where("n > 1")
 
-
-__all__ = ["nodes", "number_kind"]

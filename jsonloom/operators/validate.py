@@ -8,11 +8,11 @@ checked rule by rule for the error that they report.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.errors import TYPE, error
-from ..functions.lex import surely_valid, utf8_error
+from ..functions.lex import HUGE, LEXICAL, SPACE, kind_string, surely_valid, tokens_of, utf8_error
 from ..functions.scalars import is_number, number_kind, string_error
 from ..plans.options import ParseOptions
 from .tokens import CLOSES, OPENS, by_doc, skeleton, tokens
@@ -138,11 +138,9 @@ def is_valid(text: Column, options: ParseOptions = ParseOptions()) -> Column:
     Shallow documents are folded; deeper ones are walked over their kind string
     with the open brackets as the only state.
     """
-    from ..functions.lex import HUGE, LEXICAL, kind_string
-
     quick = surely_valid(text, options.max_depth)
     kinds = kind_string(text)
-    pairs = F.transform(F.filter(F.split(kinds, ""), lambda c: c != ""), lambda c: c)
+    pairs = F.filter(F.split(kinds, ""), lambda c: c != "")
     opens = F.aggregate(
         pairs,
         F.struct(F.lit("").alias("open"), F.lit("").alias("p"), F.lit("").alias("p2"), F.lit(True).alias("ok"), F.lit(False).alias("done")),
@@ -155,8 +153,6 @@ def is_valid(text: Column, options: ParseOptions = ParseOptions()) -> Column:
 
 
 def tokens_scalars(text: Column) -> Column:
-    from ..functions.lex import SPACE, tokens_of
-
     return F.transform(tokens_of(text), lambda x: F.ltrim(x, F.lit(SPACE)))
 
 
