@@ -17,6 +17,13 @@ Groups of copies never become pairs. Equal sets are one class from the start.
 Then every class is compared with the least class of each prefix list it is
 in, which joins most of a group to its hub; what is left are pairs of
 classes of different components, and lists within one component are gone.
+
+Candidates meet as bitmaps first. Each shingle of a set flips one bit of its
+bitmap, so two sets differ in at least as many shingles as their bitmaps in
+bits; only pairs that may still be similar fetch their whole sets. Shingles
+that one document alone has in its prefix, and documents without a partner,
+are held back by Bloom filters of fixed size. These let some more through when
+they fill up, and never lose any.
 """
 
 from __future__ import annotations
@@ -24,10 +31,11 @@ from __future__ import annotations
 import functools
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import WORD, drop_table, pick, table
@@ -37,10 +45,13 @@ from .graph import components
 HUBS = 3
 #: Frequent shingles that are ordered by their frequency; the least share of a batch's documents that hold one.
 HOT, SHARE = 1 << 17, 0.0005
-#: The largest l, and the cost of verifying a candidate in units of reading a posting.
-MATCHES, VERIFY = 4, 20.0
+#: The values of l that a document may take; the cost of a candidate beside its size, in units of reading a posting;
+#: partners that a shingle is expected to have beyond those known of.
+MATCHES, VERIFY, PARTNERS = tuple(1 << i for i in range(11)), 20.0, 0.02
+#: Words of 64 bits in a set's bitmap; bits of the filters for shingles and for documents (their bound when broadcast).
+BITMAP, SHINGLE_BITS, DOC_BITS = 16, 24, 22
 
-TOKEN, CAPITALS, ODD = re.compile(WORD), re.compile("[A-Z]+"), re.compile("[\x1c-\x1f]")
+TOKEN, CAPITALS, ODD = re.compile(WORD), re.compile("[A-Z]+"), re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 #: Odd multipliers (fixed values) that mix word hashes into shingle hashes.
 MIX = np.uint64(0x9E3779B97F4A7C15)
 MIX2 = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -59,23 +70,37 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 def words_of(text: str) -> list[str]:
-    """Words between white space, A-Z lowered; split() sees the same white space in ASCII but for 1C-1F."""
-    if text.isascii() and not ODD.search(text):
-        return text.lower().split()
-    return TOKEN.findall(CAPITALS.sub(lambda m: m[0].lower(), text))
+    """Words between white space, A-Z lowered; split() sees the same white space where no odd one occurs."""
+    if ODD.search(text):
+        return TOKEN.findall(CAPITALS.sub(lambda m: m[0].lower(), text))
+    return (text.lower() if text.isascii() else CAPITALS.sub(lambda m: m[0].lower(), text)).split()
+
+
+def shingles_of(texts: list[str | None], k: int) -> list[np.ndarray]:
+    """For each text the sorted distinct 64-bit hashes of its k-word shingles; fewer words are one shingle, no word is none."""
+    words = [words_of(t) if t else [] for t in texts]
+    sizes = np.array([len(w) for w in words], np.int64)
+    h = np.fromiter(map(_word, chain.from_iterable(words)), np.uint64, int(sizes.sum()))
+    del words
+    # a shingle of fewer words is padded with zeros: each text gets k - 1 of them behind it
+    padded = np.zeros(len(h) + (k - 1) * len(texts) + k, np.uint64)
+    starts = np.cumsum(sizes + (k - 1)) - (sizes + (k - 1))
+    padded[np.arange(len(h)) + np.repeat((k - 1) * np.arange(len(texts)), sizes)] = h
+    rolled = np.zeros(len(padded) - k + 1, np.uint64)
+    for i in range(k):
+        rolled *= MIX
+        rolled += padded[i : i + len(rolled)]
+        rolled ^= rolled >> np.uint64(29)
+    rolled = _mixed(rolled)
+    out = []
+    for at, n in zip(starts.tolist(), sizes.tolist(), strict=True):
+        s = np.sort(rolled[at : at + max(1, n - k + 1)]) if n else np.zeros(0, np.uint64)
+        out.append(s[np.append(True, s[1:] != s[:-1])] if len(s) else s)
+    return out
 
 
 def shingles(text: str | None, k: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the k-word shingles of a text; fewer words are one shingle, no word is none."""
-    words = words_of(text or "")
-    if not words:
-        return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_word, words), np.uint64, len(words))
-    m = max(1, len(h) - k + 1)
-    out = np.zeros(m, np.uint64)
-    for i in range(min(k, len(h))):
-        out = _mixed(out * MIX + h[i : i + m] + np.uint64(i + 1))
-    return np.unique(out)
+    return shingles_of([text], k)[0]
 
 
 def need(n: int, percent: int) -> int:
@@ -95,8 +120,12 @@ def prefix(s: np.ndarray, percent: int, hot: np.ndarray, rank: np.ndarray) -> tu
     order = np.lexsort((s, df))
     cost = np.cumsum(np.maximum(df[order] - 1, 0))
     best, l = None, 1
-    for m in range(1, min(MATCHES, a) + 1):
-        c = cost[n - a + m - 1] * (1 + VERIFY / m) + (n - a + m)
+    for m in MATCHES:
+        if m > a:
+            break
+        size = n - a + m
+        met = cost[size - 1] + PARTNERS * size  # postings met; a candidate takes m of them, and its whole set if verified
+        c = size + met + met / m * (VERIFY + n)
         if best is None or c < best:
             best, l = c, m
     return s[order[: n - a + l]], l
@@ -106,85 +135,153 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-def _sets_of(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, n, s1, s2): size and 128-bit hash of each document's set."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n, a, b = [], [], []
-            for t in batch.column("text"):
-                s = shingles(t.as_py(), k)
-                n.append(len(s))
-                a.append(np.add.reduce(_mixed(s)))
-                b.append(np.bitwise_xor.reduce(_mixed(s * MIX)) if len(s) else np.uint64(0))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), _signed(np.array(a, np.uint64)), _signed(np.array(b, np.uint64))], ["doc_id", "n", "s1", "s2"])
-
-    return docs.mapInArrow(run, "doc_id bigint, n bigint, s1 bigint, s2 bigint")
-
-
-def _frequent(docs: DataFrame, k: int, share: float, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Frequent shingles, sorted, and how many documents of the batches that reported them hold each.
-
-    A batch reports what at least ``share`` of its documents (4 at least) hold;
-    the ``most`` most frequent overall come to the driver.
-    """
+def _read(docs: DataFrame, k: int, share: float) -> DataFrame:
+    """One reading of all texts: (doc_id, n, s1, s2, null, null) with the size and 128-bit hash of each document's set,
+    and (null, null, null, null, h, c) for the shingles that ``share`` of a batch's documents (4 at least) hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
-                sets = [shingles(t.as_py(), k) for t in batch.column("text").slice(at, 2000)]
-                h, c = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+                part = batch.slice(at, 2000)
+                sets = shingles_of(part.column("text").to_pylist(), k)
+                n = np.array([len(s) for s in sets], np.int64)
+                every = np.concatenate(sets)
+                ends = np.append(0, np.cumsum(n))
+                # sums and XORs per set as differences of running ones
+                total = np.append(np.uint64(0), np.cumsum(_mixed(every), dtype=np.uint64))
+                parity = np.append(np.uint64(0), np.bitwise_xor.accumulate(_mixed(every * MIX)))
+                s1, s2 = total[ends[1:]] - total[ends[:-1]], parity[ends[1:]] ^ parity[ends[:-1]]
+                every.sort()
+                first = np.nonzero(np.append(True, every[1:] != every[:-1]))[0] if len(every) else np.zeros(0, np.int64)
+                c = np.diff(np.append(first, len(every)))
                 some = c >= max(4, share * len(sets))
-                yield pa.RecordBatch.from_arrays([_signed(h[some]), pa.array(c[some].astype(np.int64))], ["h", "c"])
+                h, c, rows = every[first[some]], c[some], len(sets)
+                gone, none = pa.nulls(len(h), pa.int64()), pa.nulls(rows, pa.int64())
+                both = lambda x, y: pa.concat_arrays([x.cast(pa.int64()), y])
+                yield pa.RecordBatch.from_arrays([both(part.column("doc_id"), gone), both(pa.array(n), gone), both(_signed(s1), gone), both(_signed(s2), gone), both(none, _signed(h)), both(none, pa.array(c.astype(np.int64)))], ["doc_id", "n", "s1", "s2", "h", "c"])
+
+    return docs.mapInArrow(run, "doc_id bigint, n bigint, s1 bigint, s2 bigint, h bigint, c bigint")
 
-    found = docs.select("text").mapInArrow(run, "h bigint, c bigint").groupBy("h").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "h").limit(most).toPandas()
+
+def _frequent(read: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``most`` most frequent shingles, sorted, and the documents of the batches that reported them."""
+    found = read.where("h IS NOT NULL").groupBy("h").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "h").limit(most).toPandas()
     h, c = found["h"].to_numpy(np.int64).view(np.uint64), found["c"].to_numpy(np.int64)
     order = np.argsort(h)
     return h[order], c[order]
 
 
-def _postings(docs: DataFrame, k: int, percent: int, hot: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(h, id, n, l): the prefix of each document's set; ``id`` stands for its class."""
+def _prefixes(docs: DataFrame, k: int, percent: int, hot: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """(id, n, l, p, m): the prefix of each document's set, as bytes, and its bitmap."""
     spread = docs.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, df = spread.value
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                hs, ids, ns, ls = [], [], [], []
-                for i, t in zip(part.column("doc_id").to_pylist(), part.column("text"), strict=True):
-                    s = shingles(t.as_py(), k)
-                    p, l = prefix(s, percent, frequent, df)
-                    hs.append(p)
-                    ids.append(np.full(len(p), i, np.int64))
-                    ns.append(np.full(len(p), len(s), np.int32))
-                    ls.append(np.full(len(p), l, np.int32))
-                if hs:
-                    yield pa.RecordBatch.from_arrays([_signed(np.concatenate(hs)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(ns)), pa.array(np.concatenate(ls))], ["h", "id", "n", "l"])
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                sets = shingles_of(part.column("text").to_pylist(), k)
+                made = [prefix(s, percent, frequent, df) for s in sets]
+                steps = pa.array(np.arange(len(sets) + 1) * BITMAP, pa.int32())
+                maps = pa.ListArray.from_arrays(steps, _signed(np.concatenate([bitmap(s) for s in sets])))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int32()), pa.array([l for _, l in made], pa.int32()), pa.array([p.tobytes() for p, _ in made], pa.binary()), maps], ["id", "n", "l", "p", "m"])
+
+    return docs.mapInArrow(run, "id bigint, n int, l int, p binary, m array<bigint>")
+
+
+def _places(x: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two bits of a Bloom filter that values set, as numbers."""
+    h = _mixed(x * MIX)
+    return h >> np.uint64(64 - bits), h & np.uint64((1 << bits) - 1)
+
+
+def bloom(values: DataFrame, bits: int) -> np.ndarray:
+    """A Bloom filter of 2 ** bits bits over the only (BIGINT) column of ``values``; words meet by a distributed OR."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.concatenate(_places(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64), bits))
+            yield pa.RecordBatch.from_arrays([_signed(x >> np.uint64(6)), _signed(np.uint64(1) << (x & np.uint64(63)))], ["w", "m"])
+
+    words = values.mapInArrow(run, "w bigint, m bigint").groupBy("w").agg(F.bit_or("m").alias("m")).toPandas()
+    out = np.zeros(1 << (bits - 6), np.uint64)
+    out[words["w"].to_numpy(np.int64)] = words["m"].to_numpy(np.int64).view(np.uint64)
+    return out
+
+
+def inside(held: np.ndarray, x: np.ndarray, bits: int) -> np.ndarray:
+    """Which values the filter may hold."""
+    ok = np.ones(len(x), bool)
+    for at in _places(x, bits):
+        ok &= (held[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+    return ok
+
+
+def _postings(prefixes: DataFrame, held: np.ndarray) -> DataFrame:
+    """(h, id, n, l) of the prefix shingles that the filter may hold."""
+    spread = prefixes.sparkSession.sparkContext.broadcast(held)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h = np.concatenate([np.frombuffer(p.as_py(), np.uint64) for p in batch.column("p")] or [np.zeros(0, np.uint64)])
+            rows = np.repeat(np.arange(batch.num_rows), [len(p.as_py()) // 8 for p in batch.column("p")])
+            ok = inside(spread.value, h, SHINGLE_BITS)
+            rows = pa.array(rows[ok])
+            yield pa.RecordBatch.from_arrays([_signed(h[ok]), *[batch.column(c).take(rows) for c in ("id", "n", "l")]], ["h", "id", "n", "l"])
+
+    return prefixes.select("id", "n", "l", "p").mapInArrow(run, "h bigint, id bigint, n int, l int")
+
+
+def _shared_shingles(prefixes: DataFrame) -> DataFrame:
+    """(h): shingles in two prefixes or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2000):
+                yield pa.RecordBatch.from_arrays([_signed(np.concatenate([np.frombuffer(p.as_py(), np.uint64) for p in batch.column("p").slice(at, 2000)]))], ["h"])
+
+    return prefixes.select("p").mapInArrow(run, "h bigint").groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
+
 
-    return docs.mapInArrow(run, "h bigint, id bigint, n int, l int")
+def bitmap(s: np.ndarray, words: int = BITMAP) -> np.ndarray:
+    """The parity bitmap of a set: each shingle flips one bit."""
+    at = _mixed(s) >> np.uint64(64 - (words * 64).bit_length() + 1)
+    flips = np.bincount(at.astype(np.int64), minlength=words * 64) & 1
+    return np.packbits(flips.astype(np.uint8), bitorder="little").view(np.uint64)
 
 
-def _with_sets(docs: DataFrame, k: int) -> DataFrame:
-    """(id, s): the whole sets of documents that are in some pair."""
+def _with_sets(docs: DataFrame, k: int, held: np.ndarray) -> DataFrame:
+    """(id, s): the whole sets of the documents that the filter may hold."""
+    spread = docs.sparkSession.sparkContext.broadcast(held)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            ids = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
+            batch = batch.take(pa.array(np.nonzero(inside(spread.value, ids.view(np.uint64), DOC_BITS))[0]))
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                sets = [shingles(t.as_py(), k) for t in part.column("text")]
+                sets = shingles_of(part.column("text").to_pylist(), k)
                 offsets = pa.array(np.cumsum([0, *map(len, sets)]), pa.int32())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(offsets, _signed(np.concatenate(sets)))], ["id", "s"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "id bigint, s array<bigint>")
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar enough."""
+def _near(na: Column, nb: Column, apart: Column, percent: int) -> Column:
+    """Whether sets of na and nb shingles whose bitmaps differ in ``apart`` bits may be similar enough: they share (na + nb - apart) / 2 at most."""
+    most = F.floor((na + nb - apart) / 2)
+    return most * 100 >= percent * (na + nb - most)
+
+
+def _linked(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose whole sets are similar enough. Sets are made of the documents in pairs only."""
+    ids = pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).distinct()
+    sets = table(_with_sets(texts, k, bloom(ids, DOC_BITS)))
     sa, sb = sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), sets.select(F.col("id").alias("b"), F.col("s").alias("sb"))
     both = pairs.join(sa, "a").join(sb, "b").withColumn("i", F.size(F.array_intersect("sa", "sb")))
-    return both.where(F.col("i") * 100 >= percent * (F.size("sa") + F.size("sb") - F.col("i"))).select("a", "b")
+    found = table(both.where(F.col("i") * 100 >= percent * (F.size("sa") + F.size("sb") - F.col("i"))).select("a", "b").distinct())
+    drop_table(sets)
+    return found
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -203,7 +300,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     d = pick(docs, doc_id=id_col, text=text_col)
     d = d.withColumn("doc_id", F.col("doc_id").cast("bigint"))
     texts = d.where("doc_id IS NOT NULL")
-    sized = table(_sets_of(d, k))
+    read = table(_read(d, k, SHARE))
+    sized = read.where("h IS NULL").select("doc_id", "n", "s1", "s2")
     # classes of equal sets, named by their least document
     full = sized.where("n > 0 AND doc_id IS NOT NULL")
     classes = full.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("id"))
@@ -212,7 +310,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     # a document of several texts is in several classes: it links them
     twice = members.groupBy("doc_id").agg(F.min("id").alias("b"), F.max("id").alias("c")).where("b <> c").select("doc_id", "b")
     own = members.join(twice, "doc_id").select(F.col("id").alias("a"), "b").where("a <> b")
-    links = _links(texts, heads, k, percent).unionByName(own)
+    links = _links(texts, heads, _frequent(read, HOT), k, percent).unionByName(own)
     roots = components(links).withColumnRenamed("node", "id")
     named = members.join(roots, "id", "left").select("doc_id", F.coalesce("root", "id").alias("root")).groupBy("doc_id").agg(F.min("root").alias("root"))
     return sized.join(named.withColumnRenamed("doc_id", "v"), sized.doc_id == F.col("v"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "doc_id").alias("component_id"))
@@ -223,32 +321,35 @@ def _hubs(post: DataFrame) -> DataFrame:
     return post.groupBy("h").agg(F.min(F.struct("id", "n")).alias("hub"), F.max("id").alias("last")).where("hub.id < last").select("h", F.col("hub.id").alias("hub"), F.col("hub.n").alias("m"))
 
 
-def _links(texts: DataFrame, heads: DataFrame, k: int, percent: int) -> DataFrame:
+def _links(texts: DataFrame, heads: DataFrame, hot: tuple[np.ndarray, np.ndarray], k: int, percent: int) -> DataFrame:
     """Links (a, b) that join every two classes that similar pairs connect."""
     fits = F.least("n", "m") * 100 >= percent * F.greatest("n", "m")
-    post = table(_postings(texts, k, percent, _frequent(texts, k, SHARE, HOT)))
-    some = post.join(_hubs(post).select("h"), "h", "left_semi")
-    some = table(some.join(heads, "id", "left_semi"))  # copies are not compared
-    drop_table(post)
+    prefixes = table(_prefixes(texts, k, percent, hot))
+    post = _postings(prefixes, bloom(_shared_shingles(prefixes), SHINGLE_BITS))
+    some = table(post.join(heads, "id", "left_semi"))  # copies are not compared
+    maps = prefixes.select("id", F.col("n").alias("size"), "m")
     # first pass: each class with the hubs of its lists
     hubs = _hubs(some)
     stars = some.join(hubs, "h").where("id > hub").where(fits).groupBy("id", "hub").agg(F.count("*").alias("c"))
     best = stars.groupBy("id").agg(F.slice(F.sort_array(F.collect_list(F.struct("c", (-F.col("hub")).alias("v"))), False), 1, HUBS).alias("top"))
     pairs = table(best.select("id", F.explode("top").alias("t")).select(F.col("id").alias("a"), (-F.col("t.v")).alias("b")))
-    shared = table(some.join(hubs.select("h"), "h", "left_semi"))
-    drop_table(some)
-    sets = table(_with_sets(texts.join(shared.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi"), k))
-    links = table(_linked(pairs, sets, percent))
+    ma, mb = maps.select(F.col("id").alias("a"), F.col("size").alias("na"), F.col("m").alias("ma")), maps.select(F.col("id").alias("b"), F.col("size").alias("nb"), F.col("m").alias("mb"))
+    apart = F.aggregate(F.zip_with("ma", "mb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, c: t + c)
+    maybe = table(pairs.join(ma, "a").join(mb, "b").where(_near(F.col("na"), F.col("nb"), apart, percent)).select("a", "b"))
+    links = _linked(maybe, texts, k, percent)
     roots = table(components(links))
-    # second pass: pairs of lists that still hold several components
-    named = shared.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    # second pass: pairs of lists that still hold several components; bitmaps are compared inside the join
+    named = some.join(hubs.select("h"), "h", "left_semi").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    named = table(named)
     mixed = named.groupBy("h").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2").select("h")
-    left = table(named.join(mixed, "h", "left_semi"))
-    x = left.select("h", F.col("id").alias("a"), "n", F.col("l").alias("la"), F.col("root").alias("ra"))
-    y = left.select(F.col("h").alias("g"), F.col("id").alias("b"), F.col("n").alias("m"), F.col("l").alias("lb"), F.col("root").alias("rb"))
-    met = x.join(y, (F.col("h") == F.col("g")) & (F.col("a") > F.col("b")) & (F.col("ra") != F.col("rb")) & fits)
+    left = table(named.join(mixed, "h", "left_semi").join(maps.select("id", *[F.get("m", F.lit(i)).alias(f"m{i}") for i in range(BITMAP)]), "id"))
+    words = [f"m{i}" for i in range(BITMAP)]
+    x = left.select("h", F.col("id").alias("a"), "n", F.col("l").alias("la"), F.col("root").alias("ra"), *words)
+    y = left.select(F.col("h").alias("g"), F.col("id").alias("b"), F.col("n").alias("m"), F.col("l").alias("lb"), F.col("root").alias("rb"), *[F.col(w).alias(f"o{w}") for w in words])
+    apart = sum((F.bit_count(F.col(w).bitwiseXOR(F.col(f"o{w}"))) for w in words), F.lit(0))
+    met = x.join(y, (F.col("h") == F.col("g")) & (F.col("a") > F.col("b")) & (F.col("ra") != F.col("rb")) & fits & _near(F.col("n"), F.col("m"), apart, percent))
     rest = met.groupBy("a", "b").agg(F.count("*").alias("c"), F.min(F.least("la", "lb")).alias("l")).where("c >= l").select("a", "b")
-    more = table(_linked(rest.join(pairs, ["a", "b"], "left_anti"), sets, percent))
-    for t in (left, shared, sets):
+    more = _linked(table(rest.join(pairs, ["a", "b"], "left_anti")), texts, k, percent)
+    for t in (left, named, some, prefixes):
         drop_table(t)
     return links.unionByName(more)
