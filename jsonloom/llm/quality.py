@@ -79,43 +79,46 @@ def _flat(rows: list[tuple[list[int], list[float]]]) -> tuple[np.ndarray, np.nda
     return starts, np.concatenate([np.asarray(i, np.int64) for i, _ in rows]), np.concatenate([np.asarray(v, np.float64) for _, v in rows])
 
 
-def fm_fit(rows: list[tuple[list[int], list[float]]], y: np.ndarray, buckets: int, rank: int = 8, epochs: int = 12, batch: int = 256, rate: float = 0.02, l2: float = 1e-4, seed: int = 0) -> FM:
-    """Adam on the logistic loss; dense inputs are standardised."""
+def fm_fit(starts: np.ndarray, ids: np.ndarray, values: np.ndarray, y: np.ndarray, buckets: int, rank: int = 8, epochs: int = 12, batch: int = 256, rate: float = 0.02, l2: float = 1e-4, seed: int = 0) -> FM:
+    """Adam on the logistic loss over rows in flat lists (as in ``FM.raw``), dense inputs first; those are standardised."""
     rng = np.random.default_rng(seed)
     k = len(DENSE)
-    dense = np.array([v[:k] for _, v in rows])
-    mean, scale = dense.mean(axis=0), dense.std(axis=0) + 1e-6
-    rows = [(i, [*np.clip((np.array(v[:k]) - mean) / scale, -5, 5), *v[k:]]) for i, v in rows]
+    place = starts[:-1, None] + np.arange(k)
+    mean, scale = values[place].mean(axis=0, dtype=np.float64), values[place].std(axis=0, dtype=np.float64) + 1e-6
+    values = values.copy()
+    values[place] = np.clip((values[place] - mean) / scale, -5, 5)
     rate_y = float(np.clip(y.mean(), 0.01, 0.99))
     w, v, b = np.zeros(k + buckets), rng.normal(0, 0.01, (k + buckets, rank)), np.log(rate_y / (1 - rate_y))
     state = [[np.zeros_like(x), np.zeros_like(x)] for x in (w, v)] + [[0.0, 0.0]]
     t = 0
     for _ in range(epochs):
-        order = rng.permutation(len(rows))
-        for at in range(0, len(rows), batch):
+        order = rng.permutation(len(y))
+        for at in range(0, len(y), batch):
             part = order[at : at + batch]
-            starts, ids, values = _flat([rows[i] for i in part])
-            own = np.repeat(np.arange(len(part)), np.diff(starts))
-            vx = v[ids] * values[:, None]
-            s = np.add.reduceat(vx, starts[:-1], axis=0)
-            z = b + np.add.reduceat(w[ids] * values, starts[:-1]) + 0.5 * (s**2 - np.add.reduceat(vx**2, starts[:-1], axis=0)).sum(axis=1)
+            rows = np.concatenate([np.arange(starts[i], starts[i + 1]) for i in part])
+            size = starts[part + 1] - starts[part]
+            first, i, x = np.cumsum(size) - size, ids[rows], values[rows].astype(np.float64)
+            own = np.repeat(np.arange(len(part)), size)
+            vx = v[i] * x[:, None]
+            s = np.add.reduceat(vx, first, axis=0)
+            z = b + np.add.reduceat(w[i] * x, first) + 0.5 * (s**2 - np.add.reduceat(vx**2, first, axis=0)).sum(axis=1)
             d = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y[part]) / len(part)
-            some, back = np.unique(ids, return_inverse=True)
-            gw = np.bincount(back, d[own] * values, len(some)) + l2 * w[some]
-            gv_rows = (d[own] * values)[:, None] * (s[own] - vx)
+            some, back = np.unique(i, return_inverse=True)
+            gw = np.bincount(back, d[own] * x, len(some)) + l2 * w[some]
+            gv_rows = (d[own] * x)[:, None] * (s[own] - vx)
             gv = np.stack([np.bincount(back, gv_rows[:, f], len(some)) for f in range(rank)], axis=1) + l2 * v[some]
             t += 1
-            for x, g, (m1, m2) in ((w, gw, state[0]), (v, gv, state[1])):
+            for p, g, (m1, m2) in ((w, gw, state[0]), (v, gv, state[1])):
                 m1[some] = 0.9 * m1[some] + 0.1 * g
                 m2[some] = 0.999 * m2[some] + 0.001 * g**2
-                x[some] -= rate * (m1[some] / (1 - 0.9**t)) / (np.sqrt(m2[some] / (1 - 0.999**t)) + 1e-8)
+                p[some] -= rate * (m1[some] / (1 - 0.9**t)) / (np.sqrt(m2[some] / (1 - 0.999**t)) + 1e-8)
             g = d.sum()
             state[2] = [0.9 * state[2][0] + 0.1 * g, 0.999 * state[2][1] + 0.001 * g * g]
             b -= rate * (state[2][0] / (1 - 0.9**t)) / (state[2][1] ** 0.5 / (1 - 0.999**t) ** 0.5 + 1e-8)
     return FM(float(b), w.astype(np.float32), v.astype(np.float32), mean, scale, buckets)
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 4000, buckets: int = 1 << 15, rank: int = 8, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> FM:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 3000, buckets: int = 1 << 15, rank: int = 8, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> FM:
     """A model from at most ``sample`` labelled rows of each label, the least by a hash of their id.
 
     ``labels`` holds the rows to learn from and no others. Null labels go;
@@ -141,7 +144,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 4000, buckets: int = 1
         p = float(np.clip(0.5 if share is None else share, 1e-6, 1 - 1e-6))
         k = len(DENSE) + buckets
         return FM(float(np.log(p / (1 - p))), np.zeros(k, np.float32), np.zeros((k, rank), np.float32), np.zeros(len(DENSE)), np.ones(len(DENSE)), buckets)
-    return fm_fit([(list(i), list(v)) for i, v in zip(rows["ids"], rows["vals"], strict=True)], y, buckets, rank, seed=seed)
+    starts = np.cumsum([0, *map(len, rows["ids"])])
+    return fm_fit(starts, np.concatenate(rows["ids"].to_list()), np.concatenate(rows["vals"].to_list()), y, buckets, rank, seed=seed)
 
 
 def score(docs: DataFrame, model: FM, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
