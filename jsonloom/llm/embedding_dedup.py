@@ -158,13 +158,13 @@ def near_vectors(vectors: DataFrame, least: float = 0.95, cap: int = CAP, sample
     of different lengths. Rows of one vec_id are rows of their own and linked
     through their name. An empty table gives no rows.
     """
-    v = pick(vectors, vec_id=id_col, e=vector_col).withColumn("e", F.col("e").cast("array<double>"))
+    v = pick(vectors, vec_id=id_col, e=vector_col)
     fine = F.coalesce(F.forall("e", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("e", lambda x: x != 0), F.lit(False))
     v = v.withColumn("key", F.when(F.col("vec_id").isNotNull() & fine, F.sha2(F.to_json(F.struct("e")), 256)))
     good = v.where("key IS NOT NULL")
-    classes = table(good.groupBy("key").agg(F.min(F.struct("vec_id", "e")).alias("f"), F.count("*").alias("m")).select("key", F.col("f.vec_id").alias("id"), F.col("f.e").alias("e"), "m").withColumn("dim", F.size("e")))
+    classes = table(good.groupBy("key").agg(F.min(F.struct("vec_id", "e")).alias("f"), F.count("*").alias("m")).select("key", F.col("f.vec_id").alias("id"), F.col("f.e").alias("e"), "m").withColumn("dim", F.size("e")).withColumn("c", F.xxhash64("key")))
     counted, star = _search(classes, least, cap, sample, overlap, seed)
-    of_class = classes.select("key", "id", "m").join(counted, "key", "left").select("key", F.col("id").alias("cid"), (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("links"))
+    of_class = classes.select("key", "c", "id", "m").join(counted, "c", "left").select("key", F.col("id").alias("cid"), (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("links"))
     member = v.join(of_class, "key", "left")
     own = member.where("cid <> vec_id").select(F.col("vec_id").alias("a"), F.col("cid").alias("b")).distinct()
     roots = components(star.unionByName(own))
@@ -174,14 +174,14 @@ def near_vectors(vectors: DataFrame, least: float = 0.95, cap: int = CAP, sample
 
 
 def _search(classes: DataFrame, least: float, cap: int, sample: int, overlap: int, seed: int) -> tuple[DataFrame, DataFrame]:
-    """(key, links) and edges (a, b) between classes."""
+    """(c, links) and edges (a, b) between classes; c is a 64-bit name of a class."""
     spark = classes.sparkSession
     dims = [r["dim"] for r in classes.groupBy("dim").agg(F.count("*").alias("c")).orderBy(F.desc("c")).limit(64).collect()]
     n = classes.count()
     k = int(min(MOST_CENTROIDS, max(1, n // max(1, cap // 2))))
     held = {}
     for dim in dims:  # lengths beyond the 64 commonest share one shard per length, dealt over blocks like any other
-        rows = classes.where(F.col("dim") == dim).orderBy(F.xxhash64("key", F.lit(seed)), "key").limit(sample // len(dims)).select("e").toPandas()
+        rows = classes.where(F.col("dim") == dim).orderBy(F.xxhash64("c", F.lit(seed)), "c").limit(sample // len(dims)).select("e").toPandas()
         held[dim] = centroids(_unit(_stack(rows["e"])), k, seed=seed)
     shared = spark.sparkContext.broadcast(held)
     reach = (2 - 2 * least) ** 0.5
@@ -199,33 +199,34 @@ def _search(classes: DataFrame, least: float, cap: int, sample: int, overlap: in
                 # a neighbour within the range can only be at home where this holds
                 ok = s[near[0]] - s[near] <= reach * np.linalg.norm(c[near[0]] - c[near], axis=1) + 1e-9
                 out.append([int(i) for i in near[ok]])
-            yield pd.DataFrame({"key": f["key"], "id": f["id"], "m": f["m"], "dim": f["dim"], "e": f["e"], "shards": out})
+            yield pd.DataFrame({"c": f["c"], "id": f["id"], "m": f["m"], "dim": f["dim"], "e": f["e"], "shards": out})
 
-    dealt = table(classes.select("key", "id", "m", "dim", "e").mapInPandas(assign, "key string, id bigint, m bigint, dim int, e array<double>, shards array<int>"))
+    vector = classes.schema["e"].dataType.simpleString()
+    dealt = table(classes.select("c", "id", "m", "dim", "e").mapInPandas(assign, f"c bigint, id bigint, m bigint, dim int, e {vector}, shards array<int>"))
     placed = dealt.withColumn("shard", F.explode("shards"))
     sizes = placed.groupBy("dim", "shard").agg(F.count("*").alias("c")).select(F.col("dim").alias("d2"), F.col("shard").alias("s2"), F.ceil(F.col("c") / cap).cast("int").alias("g"))
     placed = placed.join(sizes, (F.col("dim") == F.col("d2")) & (F.col("shard") == F.col("s2")))
-    placed = placed.withColumn("block", F.pmod(F.xxhash64("key"), F.col("g")).cast("int"))
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("c"), F.col("g")).cast("int"))
     tasks = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
-    tasks = tasks.withColumn("b1", F.least("block", "other")).withColumn("b2", F.greatest("block", "other")).select("dim", "shard", "b1", "b2", "key", "id", "m", "e", "shards", "block")
+    tasks = tasks.withColumn("b1", F.least("block", "other")).withColumn("b2", F.greatest("block", "other")).select("dim", "shard", "b1", "b2", "c", "id", "m", "e", "shards", "block")
 
     def build(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values("key", kind="stable")
-        keys, near = f["key"].to_numpy(), robust_prune(_unit(_stack(f["e"])))
-        return pd.DataFrame({"key": keys, "near": [list(keys[r[r >= 0]]) for r in near]})
+        f = f.sort_values("c", kind="stable")
+        names, near = f["c"].to_numpy(), robust_prune(_unit(_stack(f["e"])))
+        return pd.DataFrame({"c": names, "near": [names[r[r >= 0]] for r in near]})
 
     by = ("dim", "shard", "b1", "b2")
-    lists = tasks.select(*by, "key", "e").groupBy(*by).applyInPandas(build, "key string, near array<string>")
-    united = table(lists.select("key", F.explode("near").alias("n")).distinct().groupBy("key").agg(F.collect_list("n").alias("near")))
+    lists = tasks.select(*by, "c", "e").groupBy(*by).applyInPandas(build, "c bigint, near array<bigint>")
+    united = table(lists.groupBy("c").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")))  # a list for each task of a node
 
     def search(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values("key", kind="stable")
+        f = f.sort_values("c", kind="stable")
         shard, b1, b2 = int(f["shard"].iloc[0]), int(f["b1"].iloc[0]), int(f["b2"].iloc[0])
-        keys, ids, m, block = f["key"].to_numpy(), f["id"].to_numpy(), f["m"].to_numpy(), f["block"].to_numpy()
+        names, ids, m, block = f["c"].to_numpy(), f["id"].to_numpy(), f["m"].to_numpy(), f["block"].to_numpy()
         raw = _stack(f["e"])
         x, n = _unit(raw), len(f)
-        at = {key: i for i, key in enumerate(keys)}
-        pairs = [(i, at[o]) for i, near in enumerate(f["near"]) if near is not None for o in near if o in at]
+        at = {c: i for i, c in enumerate(names.tolist())}
+        pairs = [(i, at[o]) for i, near in enumerate(f["near"]) if near is not None for o in near.tolist() if o in at]
         both = np.unique(np.array([p for a, b in pairs for p in ((a, b), (b, a))], np.int64).reshape(-1, 2), axis=0)
         width = np.bincount(both[:, 0], minlength=n)
         adjacency = np.full((n, max(1, width.max(initial=0))), -1, np.int64)
@@ -255,7 +256,7 @@ def _search(classes: DataFrame, least: float, cap: int, sample: int, overlap: in
                 break
             root = new
         some = np.nonzero(links > 0)[0]
-        return pd.DataFrame({"key": keys[some], "links": links[some].astype(np.int64), "a": ids[some], "b": ids[root[some]]})
+        return pd.DataFrame({"c": names[some], "links": links[some].astype(np.int64), "a": ids[some], "b": ids[root[some]]})
 
-    found = table(tasks.join(united, "key", "left").groupBy(*by).applyInPandas(search, "key string, links bigint, a bigint, b bigint"))
-    return found.groupBy("key").agg(F.sum("links").alias("links")), found.where("a <> b").select("a", "b").distinct()
+    found = table(tasks.join(united, "c", "left").groupBy(*by).applyInPandas(search, "c bigint, links bigint, a bigint, b bigint"))
+    return found.groupBy("c").agg(F.sum("links").alias("links")), found.where("a <> b").select("a", "b").distinct()
