@@ -9,8 +9,10 @@
    neighbour that is closer, by ``ALPHA``, to one already kept than to the
    node goes), and lists of all tasks are united per node.
 4. Each task searches its part of the united graph for all its classes: greedy
-   from the medoid, then outwards over everything within the range. What is
-   found is verified by cosine in double precision.
+   from the medoid, then outwards over everything within the range. A class
+   whose candidates all lie within the range may have more neighbours than
+   that, which no edge leads to: it is compared with all classes of its task
+   instead. What is found is verified by cosine in double precision.
 
 Tasks return link counts and one edge per class, never pairs: a pair in
 several tasks counts in the one of its least common shard.
@@ -47,13 +49,13 @@ def centroids(x: np.ndarray, k: int, steps: int = 8, seed: int = 0) -> np.ndarra
     return c
 
 
-def robust_prune(x: np.ndarray, degree: int = DEGREE, candidates: int = CANDIDATES, alpha: float = ALPHA) -> np.ndarray:
-    """Neighbours of every row of unit ``x``, -1 where there are fewer than ``degree``."""
+def robust_prune(x: np.ndarray, degree: int = DEGREE, candidates: int = CANDIDATES, alpha: float = ALPHA) -> tuple[np.ndarray, np.ndarray]:
+    """Neighbours of every row of unit ``x``, -1 where there are fewer than ``degree``, and the cosine of the last candidate, -9 where all rows are candidates."""
     n = len(x)
     m = min(candidates, n - 1)
-    out = np.full((n, degree), -1, np.int64)
+    out, last = np.full((n, degree), -1, np.int64), np.full(n, -9.0)
     if m <= 0:
-        return out
+        return out, last
     for at in range(0, n, 256):
         rows = np.arange(at, min(n, at + 256))
         sims = x[rows] @ x.T
@@ -61,6 +63,8 @@ def robust_prune(x: np.ndarray, degree: int = DEGREE, candidates: int = CANDIDAT
         near = np.argpartition(-sims, m - 1, axis=1)[:, :m] if m < n else np.argsort(-sims, axis=1)[:, :m]
         order = np.argsort(-np.take_along_axis(sims, near, 1), axis=1, kind="stable")
         near = np.take_along_axis(near, order, 1)
+        if m < n - 1:
+            last[rows] = sims[np.arange(len(rows)), near[:, -1]]
         own = np.sqrt(np.maximum(0, 2 - 2 * np.take_along_axis(sims, near, 1)))
         v = x[near]
         between = np.sqrt(np.maximum(0, 2 - 2 * (v @ v.transpose(0, 2, 1))))
@@ -74,7 +78,18 @@ def robust_prune(x: np.ndarray, degree: int = DEGREE, candidates: int = CANDIDAT
             alive[i, first] = False
             if not alive.any():
                 break
-    return out
+    return out, last
+
+
+def compared(x: np.ndarray, queries: np.ndarray, least: float) -> np.ndarray:
+    """All pairs of a row of ``queries`` and any row of unit ``x`` at cosine ``least`` or more, in the form of ``range_search``."""
+    n, found = len(x), [np.zeros(0, np.int64)]
+    for at in range(0, len(queries), 256):
+        q = queries[at : at + 256]
+        rows, cols = np.nonzero(x[q] @ x.T >= least - 1e-9)  # the caller verifies
+        a, b = np.minimum(q[rows], cols), np.maximum(q[rows], cols)
+        found.append(np.unique((a * n + b)[a < b]))
+    return np.unique(np.concatenate(found))
 
 
 def range_search(x: np.ndarray, adjacency: np.ndarray, queries: np.ndarray, least: float, beam: int = BEAM, slack: float = SLACK) -> np.ndarray:
@@ -212,12 +227,12 @@ def _search(classes: DataFrame, least: float, cap: int, sample: int, overlap: in
 
     def build(f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values("c", kind="stable")
-        names, near = f["c"].to_numpy(), robust_prune(_unit(_stack(f["e"])))
-        return pd.DataFrame({"c": names, "near": [names[r[r >= 0]] for r in near]})
+        names, (near, last) = f["c"].to_numpy(), robust_prune(_unit(_stack(f["e"])))
+        return pd.DataFrame({"c": names, "near": [names[r[r >= 0]] for r in near], "dense": last >= least - SLACK})
 
     by = ("dim", "shard", "b1", "b2")
-    lists = tasks.select(*by, "c", "e").groupBy(*by).applyInPandas(build, "c bigint, near array<bigint>")
-    united = table(lists.groupBy("c").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")))  # a list for each task of a node
+    lists = tasks.select(*by, "c", "e").groupBy(*by).applyInPandas(build, "c bigint, near array<bigint>, dense boolean")
+    united = table(lists.groupBy("c").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"), F.max("dense").alias("dense")))  # a list for each task of a node
 
     def search(f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values("c", kind="stable")
@@ -231,7 +246,8 @@ def _search(classes: DataFrame, least: float, cap: int, sample: int, overlap: in
         width = np.bincount(both[:, 0], minlength=n)
         adjacency = np.full((n, max(1, width.max(initial=0))), -1, np.int64)
         adjacency[both[:, 0], np.arange(len(both)) - np.repeat(np.cumsum(width) - width, width)] = both[:, 1]
-        key = range_search(x, adjacency, np.arange(n), least)
+        dense = f["dense"].to_numpy(bool)
+        key = np.union1d(range_search(x, adjacency, np.nonzero(~dense)[0], least), compared(x, np.nonzero(dense)[0], least))
         i, j = key // n, key % n
         if b1 != b2:
             i, j = i[block[i] != block[j]], j[block[i] != block[j]]

@@ -132,6 +132,24 @@ def test_embeddings(spark):
     assert (got["kept"] == (got.index == got["component_id"])).all() and embedding_dedup.near_vectors(d.limit(0)).count() == 0
 
 
+def test_embeddings_of_dense_groups(spark):
+    rng = np.random.default_rng(7)
+    for groups, size, apart in ((4, 100, 0), (2, 200, 40)):  # near groups in one shard; with others that hold the medoid
+        base = rng.normal(size=64)
+        base /= np.linalg.norm(base)
+        x = []
+        for _ in range(groups):
+            jitter = rng.normal(size=64) * 0.024
+            x += [base + jitter + rng.normal(size=64) * 0.012 for _ in range(size)]
+        x += [rng.normal(size=64) for _ in range(apart)]
+        d = spark.createDataFrame([(i, [float(v) for v in e]) for i, e in enumerate(x)], "vec_id bigint, embedding array<float>")
+        got = embedding_dedup.near_vectors(d).toPandas().set_index("vec_id")["n_links"].sort_index().to_numpy()
+        u = np.array([np.float32(e) for e in x], np.float64)
+        u /= np.linalg.norm(u, axis=1)[:, None]
+        links = (u @ u.T >= 0.95).sum(axis=1) - 1
+        assert links.sum() > 100 * groups * size and (got <= links).all() and got.sum() >= 0.99 * links.sum()
+
+
 def test_packing(spark):
     path = public_tokenizers.path("byte_bpe_50k.json")
     words = "the of été don't x1,y2 (a) 12 --".split()
