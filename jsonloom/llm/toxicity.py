@@ -115,7 +115,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 3000, features: int =
     size = {r["kind"]: r["n"] for r in held.groupBy("kind").agg(F.count("*").alias("n")).collect()}
     if set(size) != {0, 1}:
         return PUModel((), np.zeros((1, 0)), np.array([-40.0]), prior)
-    words = [r["word"] for r in standing_out(held, size[1], size[0], features).collect()]  # at most `features` rows
+    words = standing_out(held, size[1], size[0], features)
     if not words:
         return PUModel((), np.zeros((1, 0)), np.array([float(np.log(prior / (1 - prior)))]), prior)
     at = {w: i for i, w in enumerate(words)}
@@ -134,12 +134,16 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 3000, features: int =
     return PUModel(tuple(words), weights, biases, prior)
 
 
-def standing_out(held: DataFrame, n: int, m: int, features: int, least: int = 3, score: float = 4.0) -> DataFrame:
-    """(word) of at most ``features`` words whose document share among the n positives is ``score`` standard errors over that among the m unlabelled: at 4, some 30,000 words give one by chance."""
+def standing_out(held: DataFrame, n: int, m: int, features: int, least: int = 3, score: float = 4.0, few: int = 8, few_score: float = 3.0) -> list[str]:
+    """At most ``features`` words whose document share among the n positives is ``score`` standard errors over that among the m unlabelled: at 4, some 30,000 words give one by chance.
+
+    Few positives can't lift a word that far, so the first ``few`` words stay from ``few_score`` standard errors on.
+    """
     counts = held.select("kind", F.explode("words").alias("word")).groupBy("word").agg(F.sum("kind").alias("a"), F.count("*").alias("all")).where(F.col("all") >= least)
     share = F.col("all") / (n + m)
     z = (F.col("a") / n - (F.col("all") - F.col("a")) / m) / F.greatest(F.lit(1e-9), F.sqrt(share * (1 - share) * (1 / n + 1 / m)))
-    return counts.withColumn("z", z).where(F.col("z") >= score).orderBy(F.desc("z"), "word").limit(features).select("word")
+    best = counts.withColumn("z", z).where(F.col("z") >= min(score, few_score)).orderBy(F.desc("z"), "word").limit(features).collect()  # at most `features` rows
+    return [r["word"] for i, r in enumerate(best) if r["z"] >= score or i < few]
 
 
 def score(docs: DataFrame, model: PUModel, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:

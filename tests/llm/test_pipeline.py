@@ -35,6 +35,8 @@ def test_stages(spark, tmp_path):
     gone = {i for i, _ in before - first}
     # so small a table has too few confirmed documents to reject many; test_toxicity and test_on_the_test_tables judge the model
     assert not first - before and len(gone - toxic) <= 0.02 * sum(before.values())
+    assert (before - first).keys() and sum((before - first).values()) < 0.2 * sum(before.values())
+    assert gone & toxic
     by_line = Counter({(i, t): 1 for i, t in lines_by_hand(list(first)) if t != "" or (i, t) in first})
     assert texts(kept["line_dedup"]) == by_line
     roots, _ = near_by_hand(list(by_line), corpus_pipeline.WORDS, corpus_pipeline.PERCENT)
