@@ -6,6 +6,12 @@ codes, top-level domains and check digits. They are made by keyed permutations
 of the values of one format, so that distinct entities of a format stay
 distinct and every mention of an entity, in any document, gets the same one.
 
+Persons are those that a text names with a listed title; all words of their
+names go, and so does every other mention of their full names or surnames in
+that text. Names that stand nowhere in a text with a title are not detected,
+nor are given names alone. A title that tells no gender is resolved inside
+one text only, so that "Dr" in one and "Mr" in another make two entities.
+
 Names come from finite lists, and formats may overlap after replacement, so a
 distributed check ranks the entities of each replacement; all but the first
 are replaced again with a further tweak, until every replacement is unique.
@@ -47,7 +53,9 @@ GIVEN = {
 #: Syllables that surnames of the replacements are built from.
 SYLLABLES = {"latin": ("bar", "bel", "cor", "dan", "der", "fal", "gar", "han", "kel", "lan", "mar", "mel", "nor", "par", "ren", "sal", "tan", "tor", "val", "wen"), "cyrillic": ("бор", "вал", "гор", "дар", "кон", "лад", "мар", "нор", "пол", "сел")}
 _WORD = r"[A-ZÀ-ÖØ-ÞА-ЯЁ][a-zß-öø-ÿа-яё'-]+"
-NAME = re.compile(rf"(?<!\w)({'|'.join(sorted((t for g in TITLES.values() for t in g), key=len, reverse=True))})(\.?\x20)({_WORD})(?:(\x20)({_WORD}))?")
+_TITLE = "|".join(sorted((t for g in TITLES.values() for t in g), key=len, reverse=True))
+#: A title and all capitalised words after it, initials among them, up to the next title.
+NAME = re.compile(rf"(?<!\w)({_TITLE})(\.?\x20)({_WORD}(?:\x20(?:[A-ZÀ-ÖØ-ÞА-ЯЁ]\.\x20)*(?!(?:{_TITLE})(?!\w)){_WORD})*)")
 
 
 @dataclass(frozen=True)
@@ -68,6 +76,47 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def names(text: str) -> list[Entity]:
+    """Mentions of the persons that the text names with a title, once at least: with a title, and their full names and surnames without one."""
+    titled = []
+    for m in NAME.finditer(text):
+        words = re.sub(r"\x20\w\.(?=\x20)", "", m[3]).split(" ")
+        titled.append((m.start(3), m.end(3), m[3], "cyrillic" if re.search("[А-Яа-яЁё]", m[3]) else "latin", next(g for g, t in TITLES.items() if m[1] in t), words))
+    if not titled:
+        return []
+    # a title that tells no gender takes that of the same name, or of the only person of its surname, elsewhere in the text
+    lower = lambda words: " ".join(words).lower()
+    people: dict[tuple[str, str], list[str]] = {}
+    for *_, script, _, words in titled:
+        of = people.setdefault((script, words[-1].lower()), [])
+        if len(words) > 1 and lower(words) not in of:
+            of.append(lower(words))
+    sex: dict[tuple[str, str], str] = {}
+    for *_, script, gender, words in titled:
+        if gender != "u":
+            of = people[script, words[-1].lower()]
+            sex.setdefault((script, of[0] if len(words) == 1 and len(of) == 1 else lower(words)), gender)
+    canons: dict[tuple[str, str], list[tuple[str, str]]] = {}
+    for i, (*_, script, gender, words) in enumerate(titled):
+        gender = sex.get((script, lower(words)), "u") if gender == "u" else gender
+        if len(words) > 1:
+            canons.setdefault((script, words[-1].lower()), []).append((gender, f"{script}:{gender}:{lower(words)}"))
+        titled[i] = (*titled[i][:4], gender, words)
+    found, known = [], {}
+    for start, end, mention, script, gender, words in titled:
+        # a surname alone is the first person of that surname whose gender may be the title's
+        alike = [c for g, c in canons.get((script, words[-1].lower()), ()) if "u" in (g, gender) or g == gender]
+        canon = f"{script}:{gender}:{lower(words)}" if len(words) > 1 else alike[0] if alike else f"{script}:{gender}: {lower(words)}"
+        found.append(Entity("name", start, end, canon))
+        for alias in (mention, " ".join(words), f"{words[0]} {words[-1]}", words[-1]):
+            known.setdefault(alias, canon)
+    taken = {i for e in found for i in range(e.start, e.end)}
+    for m in re.finditer(rf"(?<!\w)(?:{'|'.join(map(re.escape, sorted(known, key=len, reverse=True)))})(?!\w)", text):
+        if m.start() not in taken and m.end() - 1 not in taken:
+            found.append(Entity("name", m.start(), m.end(), known[m[0]]))
+    return found
+
+
 def entities(text: str) -> list[Entity]:
     """Mentions in a text, by start, none over another; of overlapping ones the earlier kind of ``KINDS`` stays."""
     found: list[Entity] = []
@@ -83,16 +132,7 @@ def entities(text: str) -> list[Entity]:
             if kind == "ip" and max(map(int, m[0].split("."))) > 255:
                 continue
             found.append(Entity(kind, m.start(), m.end(), m[0] if kind == "ip" else ("+" if m[0][0] == "+" else "") + digits))
-    full: dict[str, str] = {}
-    for m in NAME.finditer(text):
-        gender = next(g for g, t in TITLES.items() if m[1] in t)
-        script = "cyrillic" if re.search("[А-Яа-яЁё]", m[3]) else "latin"
-        if m[5]:
-            canon = f"{script}:{gender}:{m[3].lower()} {m[5].lower()}"
-            full.setdefault(m[5].lower(), canon)
-            found.append(Entity("name", m.start(3), m.end(5), canon))
-        else:  # a surname alone is the person of that surname named before in the text
-            found.append(Entity("name", m.start(3), m.end(3), full.get(m[3].lower(), f"{script}:{gender}: {m[3].lower()}")))
+    found += names(text)
     out: list[Entity] = []
     for e in sorted(found, key=lambda e: (KINDS.index(e.kind), e.start)):
         if all(e.end <= o.start or e.start >= o.end for o in out):
@@ -184,7 +224,7 @@ def _mentions(docs: DataFrame) -> DataFrame:
 
 
 def collisions(docs: DataFrame, key: bytes, rounds: int = 32) -> DataFrame:
-    """(kind, canon, attempt) of the entities whose first replacement another entity has too, or that it leaves as they were."""
+    """(kind, canon, attempt) of the entities whose first replacement another entity has too, or that it leaves as they were; an error if ``rounds`` don't make all distinct."""
     held = table(_mentions(docs).distinct().withColumn("attempt", F.lit(0)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,6 +242,8 @@ def collisions(docs: DataFrame, key: bytes, rounds: int = 32) -> DataFrame:
         held = new
         if not left:
             break
+    else:
+        raise RuntimeError(f"replacements still collide after {rounds} rounds: a format has too few values for its entities")
     return held.where("attempt > 0").select("kind", "canon", "attempt")
 
 

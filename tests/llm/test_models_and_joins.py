@@ -231,6 +231,17 @@ def test_surrogates(spark):
     assert got[3]["text"] is None and got[4]["text"] == "" and surrogates.replace_pii(docs(spark, []), key).count() == 0
 
 
+def test_surrogates_of_whole_names(spark):
+    text = "Mr John Paul Smith came. Smith said John Smith left; John Paul Smith too. Dr. Ann F. Lee met Mrs Ann Lee, Prof. Lee and Mr. Smith Mrs. Jane Smith; Mrs. Smith, Smithson."
+    found = [(text[e.start : e.end], e.canon) for e in surrogates.entities(text)]
+    assert [c for t, c in found if t in ("John Paul Smith", "Smith", "John Smith")] == ["latin:m:john paul smith"] * 5 + ["latin:f:jane smith"]
+    assert {c for t, c in found if "Lee" in t} == {"latin:f:ann lee"} and len([t for t, _ in found if "Lee" in t]) == 3
+    new = surrogates.replace_pii(docs(spark, [(1, text)]), b"k").first()["text"]
+    assert not re.search(r"John|Paul|Lee|Jane|Ann|Smith\b", new) and "Smithson" in new
+    with pytest.raises(RuntimeError):
+        surrogates.collisions(docs(spark, [(i, f"Mr. {chr(65 + i % 26)}{chr(97 + i // 26)}x") for i in range(600)]), b"k", rounds=1)
+
+
 def test_surrogates_stay_distinct(spark):
     assert sorted(surrogates.permuted(x, 1000, b"k", "t") for x in range(1000)) == list(range(1000))
     rows = [(i, f"Mr. A{chr(97 + i % 26)}{chr(97 + i // 26 % 26)} B{chr(97 + i // 676)}x wrote") for i in range(700)]
