@@ -27,7 +27,7 @@ KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.A | re.I)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # the runs of [0-9a-f]+ that are long enough
-CONTEXT = re.compile(r"(?:pass(?:word|wd|phrase)|pwd|secret|token|api_?key|credentials?|private_?key|access_?key|auth(?:orization)?)[\"']?\x20*(?::|=|\x20is\x20)\x20*(?:bearer\x20+)?[\"']?([^\s\"'<>,;]{6,512})", re.A | re.I)
+CONTEXT = re.compile(r"(?:pass(?:word|wd|phrase)|pwd|secret|token|api_?key|credentials?|private_?key|access_?key|auth(?:orization)?)[\"']?\x20*(?::|=|\x20is\x20)\x20*(?:bearer\x20+)?[\"']?([^\s\"'<>,;]{6,})", re.A | re.I)
 NEAR = re.compile(r"pass|pwd|secret|token|api|cred|key|auth", re.A | re.I)
 
 #: Words that credential values are often made of, by rank of use.

@@ -206,6 +206,12 @@ def test_secrets(spark):
     assert "hex:2:34" in got[3]["spans"] and got[5]["n_guess"] == 1 and got[6]["n_guess"] == 0 and got[4]["spans"] == ""
 
 
+def test_secrets_of_any_length():
+    value = "".join(np.random.default_rng(9).choice(list("abcdefghijkmnpqrtuvwxyzABCDEFGH123456789-_"), 800))
+    assert secrets.spans_of("Authorization: Bearer " + value)[1] == [(22, 822, "guess")]
+    assert secrets.spans_of("pwd: " + "a" * 600 + value[:30] + " x")[1] == [(5, 635, "guess")]
+
+
 def test_guess_cost():
     cost = secrets.guess_cost
     assert cost("") == 0 and cost("password") < 1.5 and cost("aaaaaaaaaaaa") < 4 and cost("qwertyuiop") < 6 and cost("19991231") < 6 and cost("abcabcabcabc") < 6
