@@ -1,5 +1,6 @@
 """Classifiers by held-out accuracy; joins, packing, secrets and surrogates by brute force."""
 
+import inspect
 import re
 import zlib
 
@@ -50,6 +51,10 @@ def test_quality(spark):
     assert quality.score(d, quality.fit(d, lab.limit(0))).first()["score"] == pytest.approx(0.5)
 
 
+def test_quality_learns_from_4000_rows_of_each_label():
+    assert inspect.signature(quality.fit).parameters["sample"].default == 4000
+
+
 def test_factorisation_identity():
     rng = np.random.default_rng(2)
     m = quality.FM(0.1, rng.normal(size=9), rng.normal(size=(9, 3)), np.zeros(0), np.ones(0), 9)
