@@ -16,6 +16,9 @@ A vector has two parts:
 
 Lanes of the second part stand four to a 64-bit word, 16 bits apart, and are
 masked after each addition, which is the reduction modulo 2**14.
+
+Likeness is an estimate for texts of under 16,384 clauses: beyond that a lane may
+wrap. A text without punctuation is one clause, like its equals only.
 """
 
 from __future__ import annotations
