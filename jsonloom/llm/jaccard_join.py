@@ -28,60 +28,42 @@ they fill up, and never lose any.
 
 from __future__ import annotations
 
-import functools
-import re
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, drop_table, pick, table
+from .common import drop_table, pick, table
 from .graph import components
+from .words import map_slices, word_hashes
 
 #: Hubs that a class is compared with in the first pass: those sharing most prefix shingles.
 HUBS = 3
 #: Frequent shingles that are ordered by their frequency; the least share of a batch's documents that hold one.
 HOT, SHARE = 1 << 17, 0.0005
-#: The values of l that a document may take; the cost of a candidate beside its size, in units of reading a posting;
-#: partners that a shingle is expected to have beyond those known of.
-MATCHES, VERIFY, PARTNERS = tuple(1 << i for i in range(11)), 20.0, 0.02
+#: The values of l that a document may take; the costs of dealing a posting and of counting a candidate whose bitmap
+#: fits, in units of comparing two bitmaps; partners that a shingle is expected to have beyond those known of.
+MATCHES, POSTING, COUNT, PARTNERS = tuple(1 << i for i in range(11)), 20.0, 10.0, 0.02
+#: Bytes of text in which frequent shingles are counted at a time.
+READ = 1 << 22
 #: Words of 64 bits in a set's bitmap; bits of the filters for shingles and for documents (their bound when broadcast).
 BITMAP, SHINGLE_BITS, DOC_BITS = 16, 24, 22
 
-TOKEN, CAPITALS, ODD = re.compile(WORD), re.compile("[A-Z]+"), re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 #: Odd multipliers (fixed values) that mix word hashes into shingle hashes.
 MIX = np.uint64(0x9E3779B97F4A7C15)
 MIX2 = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
-@functools.lru_cache(maxsize=200_000)
-def _word(w: str) -> int:
-    import xxhash
-
-    return xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
-
-
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(29))) * MIX2
     return x ^ (x >> np.uint64(32))
 
 
-def words_of(text: str) -> list[str]:
-    """Words between white space, A-Z lowered; split() sees the same white space where no odd one occurs."""
-    if ODD.search(text):
-        return TOKEN.findall(CAPITALS.sub(lambda m: m[0].lower(), text))
-    return (text.lower() if text.isascii() else CAPITALS.sub(lambda m: m[0].lower(), text)).split()
-
-
-def shingles_of(texts: list[str | None], k: int) -> list[np.ndarray]:
+def shingles_of(texts: pa.Array, k: int) -> list[np.ndarray]:
     """For each text the sorted distinct 64-bit hashes of its k-word shingles; fewer words are one shingle, no word is none."""
-    words = [words_of(t) if t else [] for t in texts]
-    sizes = np.array([len(w) for w in words], np.int64)
-    h = np.fromiter(map(_word, chain.from_iterable(words)), np.uint64, int(sizes.sum()))
-    del words
+    h, sizes = word_hashes(texts)
     # a shingle of fewer words is padded with zeros: each text gets k - 1 of them behind it
     padded = np.zeros(len(h) + (k - 1) * len(texts) + k, np.uint64)
     starts = np.cumsum(sizes + (k - 1)) - (sizes + (k - 1))
@@ -100,7 +82,7 @@ def shingles_of(texts: list[str | None], k: int) -> list[np.ndarray]:
 
 
 def shingles(text: str | None, k: int) -> np.ndarray:
-    return shingles_of([text], k)[0]
+    return shingles_of(pa.array([text], pa.string()), k)[0]
 
 
 def need(n: int, percent: int) -> int:
@@ -124,8 +106,8 @@ def prefix(s: np.ndarray, percent: int, hot: np.ndarray, rank: np.ndarray) -> tu
         if m > a:
             break
         size = n - a + m
-        met = cost[size - 1] + PARTNERS * size  # postings met; a candidate takes m of them, and its whole set if verified
-        c = size + met + met / m * (VERIFY + n)
+        met = cost[size - 1] + PARTNERS * size  # bitmaps met; a candidate takes m of them
+        c = POSTING * size + met + COUNT * met / m
         if best is None or c < best:
             best, l = c, m
     return s[order[: n - a + l]], l
@@ -139,28 +121,25 @@ def _read(docs: DataFrame, k: int, share: float) -> DataFrame:
     """One reading of all texts: (doc_id, n, s1, s2, null, null) with the size and 128-bit hash of each document's set,
     and (null, null, null, null, h, c) for the shingles that ``share`` of a batch's documents (4 at least) hold."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
-                sets = shingles_of(part.column("text").to_pylist(), k)
-                n = np.array([len(s) for s in sets], np.int64)
-                every = np.concatenate(sets)
-                ends = np.append(0, np.cumsum(n))
-                # sums and XORs per set as differences of running ones
-                total = np.append(np.uint64(0), np.cumsum(_mixed(every), dtype=np.uint64))
-                parity = np.append(np.uint64(0), np.bitwise_xor.accumulate(_mixed(every * MIX)))
-                s1, s2 = total[ends[1:]] - total[ends[:-1]], parity[ends[1:]] ^ parity[ends[:-1]]
-                every.sort()
-                first = np.nonzero(np.append(True, every[1:] != every[:-1]))[0] if len(every) else np.zeros(0, np.int64)
-                c = np.diff(np.append(first, len(every)))
-                some = c >= max(4, share * len(sets))
-                h, c, rows = every[first[some]], c[some], len(sets)
-                gone, none = pa.nulls(len(h), pa.int64()), pa.nulls(rows, pa.int64())
-                both = lambda x, y: pa.concat_arrays([x.cast(pa.int64()), y])
-                yield pa.RecordBatch.from_arrays([both(part.column("doc_id"), gone), both(pa.array(n), gone), both(_signed(s1), gone), both(_signed(s2), gone), both(none, _signed(h)), both(none, pa.array(c.astype(np.int64)))], ["doc_id", "n", "s1", "s2", "h", "c"])
-
-    return docs.mapInArrow(run, "doc_id bigint, n bigint, s1 bigint, s2 bigint, h bigint, c bigint")
+    def run(part: pa.RecordBatch) -> pa.RecordBatch:
+        sets = shingles_of(part.column("text"), k)
+        n = np.array([len(s) for s in sets], np.int64)
+        every = np.concatenate(sets)
+        ends = np.append(0, np.cumsum(n))
+        # sums and XORs per set as differences of running ones
+        total = np.append(np.uint64(0), np.cumsum(_mixed(every), dtype=np.uint64))
+        parity = np.append(np.uint64(0), np.bitwise_xor.accumulate(_mixed(every * MIX)))
+        s1, s2 = total[ends[1:]] - total[ends[:-1]], parity[ends[1:]] ^ parity[ends[:-1]]
+        every.sort()
+        first = np.nonzero(np.append(True, every[1:] != every[:-1]))[0] if len(every) else np.zeros(0, np.int64)
+        c = np.diff(np.append(first, len(every)))
+        some = c >= max(4, share * len(sets))
+        h, c, rows = every[first[some]], c[some], len(sets)
+        gone, none = pa.nulls(len(h), pa.int64()), pa.nulls(rows, pa.int64())
+        both = lambda x, y: pa.concat_arrays([x.cast(pa.int64()), y])
+        return pa.RecordBatch.from_arrays([both(part.column("doc_id"), gone), both(pa.array(n), gone), both(_signed(s1), gone), both(_signed(s2), gone), both(none, _signed(h)), both(none, pa.array(c.astype(np.int64)))], ["doc_id", "n", "s1", "s2", "h", "c"])
+
+    return map_slices(docs, run, "doc_id bigint, n bigint, s1 bigint, s2 bigint, h bigint, c bigint", most=READ)
 
 
 def _frequent(read: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -175,18 +154,15 @@ def _prefixes(docs: DataFrame, k: int, percent: int, hot: tuple[np.ndarray, np.n
     """(id, n, l, p, m): the prefix of each document's set, as bytes, and its bitmap."""
     spread = docs.sparkSession.sparkContext.broadcast(hot)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(part: pa.RecordBatch) -> pa.RecordBatch:
         frequent, df = spread.value
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                sets = shingles_of(part.column("text").to_pylist(), k)
-                made = [prefix(s, percent, frequent, df) for s in sets]
-                steps = pa.array(np.arange(len(sets) + 1) * BITMAP, pa.int32())
-                maps = pa.ListArray.from_arrays(steps, _signed(np.concatenate([bitmap(s) for s in sets])))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int32()), pa.array([l for _, l in made], pa.int32()), pa.array([p.tobytes() for p, _ in made], pa.binary()), maps], ["id", "n", "l", "p", "m"])
+        sets = shingles_of(part.column("text"), k)
+        made = [prefix(s, percent, frequent, df) for s in sets]
+        steps = pa.array(np.arange(len(sets) + 1) * BITMAP, pa.int32())
+        maps = pa.ListArray.from_arrays(steps, _signed(np.concatenate([bitmap(s) for s in sets])))
+        return pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int32()), pa.array([l for _, l in made], pa.int32()), pa.array([p.tobytes() for p, _ in made], pa.binary()), maps], ["id", "n", "l", "p", "m"])
 
-    return docs.mapInArrow(run, "id bigint, n int, l int, p binary, m array<bigint>")
+    return map_slices(docs, run, "id bigint, n int, l int, p binary, m array<bigint>")
 
 
 def _places(x: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -221,26 +197,28 @@ def _postings(prefixes: DataFrame, held: np.ndarray) -> DataFrame:
     """(h, id, n, l) of the prefix shingles that the filter may hold."""
     spread = prefixes.sparkSession.sparkContext.broadcast(held)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            h = np.concatenate([np.frombuffer(p.as_py(), np.uint64) for p in batch.column("p")] or [np.zeros(0, np.uint64)])
-            rows = np.repeat(np.arange(batch.num_rows), [len(p.as_py()) // 8 for p in batch.column("p")])
-            ok = inside(spread.value, h, SHINGLE_BITS)
-            rows = pa.array(rows[ok])
-            yield pa.RecordBatch.from_arrays([_signed(h[ok]), *[batch.column(c).take(rows) for c in ("id", "n", "l")]], ["h", "id", "n", "l"])
+    def run(part: pa.RecordBatch) -> pa.RecordBatch:
+        h, rows = _shingles_in(part)
+        ok = inside(spread.value, h, SHINGLE_BITS)
+        rows = pa.array(rows[ok])
+        return pa.RecordBatch.from_arrays([_signed(h[ok]), *[part.column(c).take(rows) for c in ("id", "n", "l")]], ["h", "id", "n", "l"])
+
+    return map_slices(prefixes.select("id", "n", "l", "p"), run, "h bigint, id bigint, n int, l int", "p")
 
-    return prefixes.select("id", "n", "l", "p").mapInArrow(run, "h bigint, id bigint, n int, l int")
+
+def _shingles_in(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles of a batch's prefixes, one after the other, and the row that each is of."""
+    p = part.column("p").to_pylist()
+    return np.frombuffer(b"".join(p), np.uint64), np.repeat(np.arange(len(p)), [len(x) // 8 for x in p])
 
 
 def _shared_shingles(prefixes: DataFrame) -> DataFrame:
     """(h): shingles in two prefixes or more."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                yield pa.RecordBatch.from_arrays([_signed(np.concatenate([np.frombuffer(p.as_py(), np.uint64) for p in batch.column("p").slice(at, 2000)]))], ["h"])
+    def run(part: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([_signed(_shingles_in(part)[0])], ["h"])
 
-    return prefixes.select("p").mapInArrow(run, "h bigint").groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
+    return map_slices(prefixes.select("p"), run, "h bigint", "p").groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
 
 
 def bitmap(s: np.ndarray, words: int = BITMAP) -> np.ndarray:
@@ -254,17 +232,14 @@ def _with_sets(docs: DataFrame, k: int, held: np.ndarray) -> DataFrame:
     """(id, s): the whole sets of the documents that the filter may hold."""
     spread = docs.sparkSession.sparkContext.broadcast(held)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
-            batch = batch.take(pa.array(np.nonzero(inside(spread.value, ids.view(np.uint64), DOC_BITS))[0]))
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                sets = shingles_of(part.column("text").to_pylist(), k)
-                offsets = pa.array(np.cumsum([0, *map(len, sets)]), pa.int32())
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(offsets, _signed(np.concatenate(sets)))], ["id", "s"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "id bigint, s array<bigint>")
+    def run(part: pa.RecordBatch) -> pa.RecordBatch:
+        ids = part.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
+        part = part.take(pa.array(np.nonzero(inside(spread.value, ids.view(np.uint64), DOC_BITS))[0]))
+        sets = shingles_of(part.column("text"), k)
+        offsets = pa.array(np.cumsum([0, *map(len, sets)]), pa.int32())
+        return pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(offsets, _signed(np.concatenate([np.zeros(0, np.uint64), *sets])))], ["id", "s"])
+
+    return map_slices(docs.select("doc_id", "text"), run, "id bigint, s array<bigint>")
 
 
 def _near(na: Column, nb: Column, apart: Column, percent: int) -> Column:

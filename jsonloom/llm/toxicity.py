@@ -17,7 +17,6 @@ case or punctuation.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import drop_table, pick, table
+from .words import map_slices
 
 TOKEN = re.compile(r"[^\W_]+")
 
@@ -82,11 +82,10 @@ def nnpu_fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, classif
 def _distinct_words(docs: DataFrame) -> DataFrame:
     """(kind, words): distinct words of whole texts; what a sample of documents sends to the driver."""
 
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([sorted(words_of(t.as_py())) for t in batch.column(1)], pa.list_(pa.string()))], ["kind", "words"])
+    def words(part: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([part.column("kind"), pa.array([sorted(words_of(t.as_py())) for t in part.column("text")], pa.list_(pa.string()))], ["kind", "words"])
 
-    return docs.select("kind", "text").mapInArrow(words, "kind int, words array<string>")
+    return map_slices(docs.select("kind", "text"), words, "kind int, words array<string>")
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = 3000, features: int = 256, prior: float | None = None, classifiers: int = 3, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> PUModel:
@@ -157,14 +156,13 @@ def score(docs: DataFrame, model: PUModel, threshold: float = 0.3, id_col: str =
     at, vocabulary = {w: i for i, w in enumerate(model.words)}, frozenset(model.words)
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in d.schema if f.name != "text")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            s = model.scores([[at[w] for w in words_of(t.as_py()) & vocabulary] for t in batch.column("text")])
-            names = [n for n in batch.schema.names if n != "text"]
-            columns = [batch.column(n) for n in names] + [pa.array(s), pa.array((s >= threshold).astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(columns, [*names, "score", "predicted"])
+    def run(part: pa.RecordBatch) -> pa.RecordBatch:
+        s = model.scores([[at[w] for w in words_of(t.as_py()) & vocabulary] for t in part.column("text")])
+        names = [n for n in part.schema.names if n != "text"]
+        columns = [part.column(n) for n in names] + [pa.array(s), pa.array((s >= threshold).astype(np.int32))]
+        return pa.RecordBatch.from_arrays(columns, [*names, "score", "predicted"])
 
-    out = d.mapInArrow(run, f"{kinds}, score double, predicted int")
+    out = map_slices(d, run, f"{kinds}, score double, predicted int")
     return out.select("doc_id", "score", "predicted", *[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)])
 
 
