@@ -91,3 +91,12 @@ def test_nulls_and_size_limit(spark):
     d = spark.createDataFrame([(1, None), (2, "[1]"), (3, "[1,2,3,4]")], "doc_id int, json string")
     got = {r["doc_id"]: (r["ok"], r["error"] and r["error"]["code"]) for r in parse(d, options=ParseOptions(max_input_bytes=5)).collect()}
     assert got == {1: (None, None), 2: (True, None), 3: (False, "InputTooLarge")}
+
+
+def test_errors_need_no_ids(spark):
+    rows = [(None, "[1,"), (None, "[1]"), (4, "{"), (4, "]"), (4, None), (4, '{"a":1}')]
+    d = spark.createDataFrame(rows, "doc_id int, json string")
+    got = sorted((str(r["json"]), r["ok"], r["error"] and (r["error"]["kind"], r["error"]["offset"])) for r in parse(d).collect())
+    assert got == sorted([("[1,", False, ("UnexpectedToken", 3)), ("[1]", True, None), ("{", False, ("UnbalancedBrackets", 0)), ("]", False, ("UnexpectedToken", 0)), ("None", None, None), ('{"a":1}', True, None)])
+    plan = parse(d)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
