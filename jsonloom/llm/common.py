@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,17 +18,22 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 def pick(df: DataFrame, **wanted: str) -> DataFrame:
     """``df`` with only the wanted columns, ``new=old``; other columns, even of clashing names, go.
 
-    The first column whose name equals ``old`` is taken, so neither repeated
-    names nor names that differ in case only are ambiguous.
+    The first column whose name equals ``old`` is taken, else the first that
+    differs in case only, as Spark's names do; neither repeated names nor names
+    that differ in case are ambiguous.
     """
     names = df.columns
     plain = df.toDF(*[f"c{i}" for i in range(len(names))])
-    return plain.select(*[F.col(f"c{names.index(old)}").alias(new) for new, old in wanted.items()])
+    lower = [n.lower() for n in names]
+    place = lambda old: names.index(old) if old in names else lower.index(old.lower())
+    return plain.select(*[F.col(f"c{place(old)}").alias(new) for new, old in wanted.items()])
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one under /tmp only where the session names none."""
+    """The folder that driver and executors share, ``spark.checkpoint.dir``; one under /tmp only in local mode where none is set."""
     set_one = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not set_one and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return (set_one or "/tmp/checkpoints").rstrip("/")
 
 

@@ -8,14 +8,14 @@ shares at least the smaller of its two documents' l. A larger l makes a longer
 prefix and asks for more matches; each document takes the l that costs least
 by the document frequencies of its prefix.
 
-The order puts frequent shingles last, so prefixes hold rare ones. Any order
-is right; the frequent ones are found over all documents (a shingle is
+The order puts frequent shingles last, and before them those of short words,
+so prefixes hold rare ones. Any order is right; the frequent ones are found over all documents (a shingle is
 reported by a batch in which it is frequent, so none frequent overall is
 missed) and the ``hot`` most frequent are kept, a bound on what is broadcast.
 
 Groups of copies never become pairs. Equal sets are one class from the start.
-Then every class is compared with the least class of each prefix list it is
-in, which joins most of a group to its hub; what is left are pairs of
+Then every class is compared with the hub of each prefix list it is in, the
+class whose shingles others share most, which joins most of a group to it; what is left are pairs of
 classes of different components, and lists within one component are gone.
 
 Candidates meet as bitmaps first. Each shingle of a set flips one bit of its
@@ -62,18 +62,25 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 def shingles_of(texts: pa.Array, k: int) -> list[np.ndarray]:
-    """For each text the sorted distinct 64-bit hashes of its k-word shingles; fewer words are one shingle, no word is none."""
-    h, sizes = word_hashes(texts)
+    """For each text its sorted distinct k-word shingles as numbers; fewer words are one shingle, no word is none.
+
+    The top byte is less the longer the shingle, and the others are its hash:
+    in ascending order, those of long words come first, which few texts share
+    by chance.
+    """
+    h, bytes_, sizes = word_hashes(texts)
     # a shingle of fewer words is padded with zeros: each text gets k - 1 of them behind it
-    padded = np.zeros(len(h) + (k - 1) * len(texts) + k, np.uint64)
+    padded, long = np.zeros(len(h) + (k - 1) * len(texts) + k, np.uint64), np.zeros(len(h) + (k - 1) * len(texts) + k, np.int64)
     starts = np.cumsum(sizes + (k - 1)) - (sizes + (k - 1))
-    padded[np.arange(len(h)) + np.repeat((k - 1) * np.arange(len(texts)), sizes)] = h
-    rolled = np.zeros(len(padded) - k + 1, np.uint64)
+    places = np.arange(len(h)) + np.repeat((k - 1) * np.arange(len(texts)), sizes)
+    padded[places], long[places] = h, bytes_
+    rolled, size = np.zeros(len(padded) - k + 1, np.uint64), np.zeros(len(padded) - k + 1, np.int64)
     for i in range(k):
         rolled *= MIX
         rolled += padded[i : i + len(rolled)]
         rolled ^= rolled >> np.uint64(29)
-    rolled = _mixed(rolled)
+        size += long[i : i + len(rolled)]
+    rolled = _mixed(rolled) >> np.uint64(8) | (255 - np.minimum(size, 255)).astype(np.uint64) << np.uint64(56)
     out = []
     for at, n in zip(starts.tolist(), sizes.tolist(), strict=True):
         s = np.sort(rolled[at : at + max(1, n - k + 1)]) if n else np.zeros(0, np.uint64)
@@ -90,11 +97,14 @@ def need(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
-def prefix(s: np.ndarray, percent: int, hot: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, int]:
-    """The prefix of a sorted set and its l. ``hot`` holds frequent shingles, sorted; ``rank`` their document frequencies."""
+def prefix(s: np.ndarray, percent: int, hot: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, int, int]:
+    """The prefix of a sorted set, its l, and how many of 1000 shingles are frequent: most where others are variants of this set.
+
+    ``hot`` holds frequent shingles, sorted; ``rank`` their document frequencies.
+    """
     n, a = len(s), need(len(s), percent)
     if not n:
-        return s, 1
+        return s, 1, 0
     df = np.ones(n, np.int64)
     if len(hot):
         at = np.minimum(np.searchsorted(hot, s), len(hot) - 1)
@@ -110,7 +120,7 @@ def prefix(s: np.ndarray, percent: int, hot: np.ndarray, rank: np.ndarray) -> tu
         c = POSTING * size + met + COUNT * met / m
         if best is None or c < best:
             best, l = c, m
-    return s[order[: n - a + l]], l
+    return s[order[: n - a + l]], l, int(1000 * np.count_nonzero(df > 1) // n)
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -151,7 +161,7 @@ def _frequent(read: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _prefixes(docs: DataFrame, k: int, percent: int, hot: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(id, n, l, p, m): the prefix of each document's set, as bytes, and its bitmap."""
+    """(id, n, l, c, p, m): the prefix of each document's set, as bytes, and its bitmap; ``c`` as of ``prefix``."""
     spread = docs.sparkSession.sparkContext.broadcast(hot)
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
@@ -160,9 +170,9 @@ def _prefixes(docs: DataFrame, k: int, percent: int, hot: tuple[np.ndarray, np.n
         made = [prefix(s, percent, frequent, df) for s in sets]
         steps = pa.array(np.arange(len(sets) + 1) * BITMAP, pa.int32())
         maps = pa.ListArray.from_arrays(steps, _signed(np.concatenate([bitmap(s) for s in sets])))
-        return pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int32()), pa.array([l for _, l in made], pa.int32()), pa.array([p.tobytes() for p, _ in made], pa.binary()), maps], ["id", "n", "l", "p", "m"])
+        return pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int32()), pa.array([l for _, l, _ in made], pa.int32()), pa.array([c for _, _, c in made], pa.int32()), pa.array([p.tobytes() for p, _, _ in made], pa.binary()), maps], ["id", "n", "l", "c", "p", "m"])
 
-    return map_slices(docs, run, "id bigint, n int, l int, p binary, m array<bigint>")
+    return map_slices(docs, run, "id bigint, n int, l int, c int, p binary, m array<bigint>")
 
 
 def _places(x: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -194,16 +204,16 @@ def inside(held: np.ndarray, x: np.ndarray, bits: int) -> np.ndarray:
 
 
 def _postings(prefixes: DataFrame, held: np.ndarray) -> DataFrame:
-    """(h, id, n, l) of the prefix shingles that the filter may hold."""
+    """(h, id, n, l, c) of the prefix shingles that the filter may hold."""
     spread = prefixes.sparkSession.sparkContext.broadcast(held)
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
         h, rows = _shingles_in(part)
         ok = inside(spread.value, h, SHINGLE_BITS)
         rows = pa.array(rows[ok])
-        return pa.RecordBatch.from_arrays([_signed(h[ok]), *[part.column(c).take(rows) for c in ("id", "n", "l")]], ["h", "id", "n", "l"])
+        return pa.RecordBatch.from_arrays([_signed(h[ok]), *[part.column(c).take(rows) for c in ("id", "n", "l", "c")]], ["h", "id", "n", "l", "c"])
 
-    return map_slices(prefixes.select("id", "n", "l", "p"), run, "h bigint, id bigint, n int, l int", "p")
+    return map_slices(prefixes.select("id", "n", "l", "c", "p"), run, "h bigint, id bigint, n int, l int, c int", "p")
 
 
 def _shingles_in(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -291,40 +301,47 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     return sized.join(named.withColumnRenamed("doc_id", "v"), sized.doc_id == F.col("v"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "doc_id").alias("component_id"))
 
 
-def _hubs(post: DataFrame) -> DataFrame:
-    """The least class of each prefix list that holds two or more."""
-    return post.groupBy("h").agg(F.min(F.struct("id", "n")).alias("hub"), F.max("id").alias("last")).where("hub.id < last").select("h", F.col("hub.id").alias("hub"), F.col("hub.n").alias("m"))
+def _merged_lists(post: DataFrame) -> DataFrame:
+    """(h, w, hub, m) of the prefix lists that hold two classes or more; of those that hold the same classes, one, for all ``w`` of them.
+
+    The shingles of a passage have the same list, so that copies of passages
+    are matched once and not once a shingle. Lists are compared by count and
+    128 bits of their classes. The hub is the class that shares most of its
+    shingles, so the origin of variants, and ``m`` its size.
+    """
+    one = post.groupBy("h").agg(F.count("*").alias("k"), F.bit_xor(F.xxhash64("id")).alias("x"), F.sum(F.xxhash64("id", F.lit(1)).cast("decimal(20,0)")).alias("y"), F.min(F.struct((-F.col("c")).alias("c"), "id", "n")).alias("hub"), F.min("id").alias("least"), F.max("id").alias("last"))
+    return one.where("least < last").groupBy("k", "x", "y").agg(F.min("h").alias("h"), F.count("*").alias("w"), F.min("hub").alias("hub")).select("h", "w", F.col("hub.id").alias("hub"), F.col("hub.n").alias("m"))
 
 
 def _links(texts: DataFrame, heads: DataFrame, hot: tuple[np.ndarray, np.ndarray], k: int, percent: int) -> DataFrame:
     """Links (a, b) that join every two classes that similar pairs connect."""
     fits = F.least("n", "m") * 100 >= percent * F.greatest("n", "m")
-    prefixes = table(_prefixes(texts, k, percent, hot))
-    post = _postings(prefixes, bloom(_shared_shingles(prefixes), SHINGLE_BITS))
-    some = table(post.join(heads, "id", "left_semi"))  # copies are not compared
-    maps = prefixes.select("id", F.col("n").alias("size"), "m")
+    prefixes = table(_prefixes(texts, k, percent, hot).join(heads, "id", "left_semi"))  # copies are not compared
+    post = table(_postings(prefixes, bloom(_shared_shingles(prefixes), SHINGLE_BITS)))
+    some = table(post.join(_merged_lists(post), "h").drop("c"))
+    maps = prefixes.select("id", F.col("n").alias("size"), F.col("m").alias("map"))
     # first pass: each class with the hubs of its lists
-    hubs = _hubs(some)
-    stars = some.join(hubs, "h").where("id > hub").where(fits).groupBy("id", "hub").agg(F.count("*").alias("c"))
+    stars = some.where("id <> hub").where(fits).groupBy("id", "hub").agg(F.sum("w").alias("c"))
     best = stars.groupBy("id").agg(F.slice(F.sort_array(F.collect_list(F.struct("c", (-F.col("hub")).alias("v"))), False), 1, HUBS).alias("top"))
-    pairs = table(best.select("id", F.explode("top").alias("t")).select(F.col("id").alias("a"), (-F.col("t.v")).alias("b")))
-    ma, mb = maps.select(F.col("id").alias("a"), F.col("size").alias("na"), F.col("m").alias("ma")), maps.select(F.col("id").alias("b"), F.col("size").alias("nb"), F.col("m").alias("mb"))
+    pairs = best.select("id", F.explode("top").alias("t")).withColumn("hub", -F.col("t.v"))
+    pairs = table(pairs.select(F.greatest("id", "hub").alias("a"), F.least("id", "hub").alias("b")).distinct())
+    ma, mb = maps.select(F.col("id").alias("a"), F.col("size").alias("na"), F.col("map").alias("ma")), maps.select(F.col("id").alias("b"), F.col("size").alias("nb"), F.col("map").alias("mb"))
     apart = F.aggregate(F.zip_with("ma", "mb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, c: t + c)
     maybe = table(pairs.join(ma, "a").join(mb, "b").where(_near(F.col("na"), F.col("nb"), apart, percent)).select("a", "b"))
     links = _linked(maybe, texts, k, percent)
     roots = table(components(links))
     # second pass: pairs of lists that still hold several components; bitmaps are compared inside the join
-    named = some.join(hubs.select("h"), "h", "left_semi").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    named = table(named)
+    named = table(some.select("h", "id", "n", "l", "w").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id")))
     mixed = named.groupBy("h").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2").select("h")
-    left = table(named.join(mixed, "h", "left_semi").join(maps.select("id", *[F.get("m", F.lit(i)).alias(f"m{i}") for i in range(BITMAP)]), "id"))
+    left = table(named.join(mixed, "h", "left_semi").join(maps.select("id", *[F.get("map", F.lit(i)).alias(f"m{i}") for i in range(BITMAP)]), "id"))
     words = [f"m{i}" for i in range(BITMAP)]
-    x = left.select("h", F.col("id").alias("a"), "n", F.col("l").alias("la"), F.col("root").alias("ra"), *words)
+    x = left.select("h", "w", F.col("id").alias("a"), "n", F.col("l").alias("la"), F.col("root").alias("ra"), *words)
     y = left.select(F.col("h").alias("g"), F.col("id").alias("b"), F.col("n").alias("m"), F.col("l").alias("lb"), F.col("root").alias("rb"), *[F.col(w).alias(f"o{w}") for w in words])
     apart = sum((F.bit_count(F.col(w).bitwiseXOR(F.col(f"o{w}"))) for w in words), F.lit(0))
     met = x.join(y, (F.col("h") == F.col("g")) & (F.col("a") > F.col("b")) & (F.col("ra") != F.col("rb")) & fits & _near(F.col("n"), F.col("m"), apart, percent))
-    rest = met.groupBy("a", "b").agg(F.count("*").alias("c"), F.min(F.least("la", "lb")).alias("l")).where("c >= l").select("a", "b")
-    more = _linked(table(rest.join(pairs, ["a", "b"], "left_anti")), texts, k, percent)
-    for t in (left, named, some, prefixes):
+    rest = met.groupBy("a", "b").agg(F.sum("w").alias("c"), F.min(F.least("la", "lb")).alias("l")).where("c >= l").select("a", "b")
+    again = table(rest.join(pairs, ["a", "b"], "left_anti"))
+    more = _linked(again, texts, k, percent)
+    for t in (left, named, some, post, prefixes, pairs, maybe, roots, again):
         drop_table(t)
     return links.unionByName(more)

@@ -92,16 +92,16 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(64-bit hash of each word, words of each row); eight bytes are mixed at a time, for all words at once."""
+def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(64-bit hash and bytes of each word, words of each row); eight bytes are mixed at a time, for all words at once."""
     data, starts, ends, rows = places(column)
     data = np.append(data, np.zeros(8, np.uint8))
     eight = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))  # the eight bytes from each place on
-    left = ends - starts
+    sizes = left = ends - starts
     out, at = mixed(left.astype(np.uint64) * MIX1), np.arange(len(starts))
     while len(at):
         bits = np.minimum(left, 8).astype(np.uint64) * np.uint64(8)
         out[at] = mixed(out[at] * MIX2 ^ (eight[starts] & (FULL >> (np.uint64(64) - bits))))
         longer = left > 8
         at, starts, left = at[longer], starts[longer] + 8, left[longer] - 8
-    return out, rows
+    return out, sizes, rows

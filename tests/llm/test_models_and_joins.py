@@ -113,7 +113,7 @@ def test_longer_prefixes_lose_no_pair():
         a = np.unique(rng.integers(0, 80, 40).astype(np.uint64))
         b = np.unique(np.append(a[rng.random(len(a)) < 0.93], rng.integers(0, 80, 2).astype(np.uint64)))
         hot, df = np.arange(0, 80, 2, dtype=np.uint64), rng.integers(2, 90, 40)
-        (p, l), (q, m) = jaccard_join.prefix(a, 80, hot, df), jaccard_join.prefix(b, 80, hot, df)
+        (p, l, _), (q, m, _) = jaccard_join.prefix(a, 80, hot, df), jaccard_join.prefix(b, 80, hot, df)
         both, either = len(np.intersect1d(a, b)), len(np.union1d(a, b))
         if 100 * both >= 80 * either:
             assert len(np.intersect1d(p, q)) >= min(l, m)
