@@ -111,13 +111,14 @@ def prefix(s: np.ndarray, percent: int, hot: np.ndarray, rank: np.ndarray) -> tu
         df = np.where(hot[at] == s, rank[at], 1)
     order = np.lexsort((s, df))
     cost = np.cumsum(np.maximum(df[order] - 1, 0))
+    full = 128 * BITMAP  # bitmaps of larger sets tell little: their candidates are verified
     best, l = None, 1
     for m in MATCHES:
         if m > a:
             break
         size = n - a + m
         met = cost[size - 1] + PARTNERS * size  # bitmaps met; a candidate takes m of them
-        c = POSTING * size + met + COUNT * met / m
+        c = POSTING * size + met + met / m * (COUNT + (n if n > full else 0))
         if best is None or c < best:
             best, l = c, m
     return s[order[: n - a + l]], l, int(1000 * np.count_nonzero(df > 1) // n)
@@ -302,15 +303,19 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
 
 
 def _merged_lists(post: DataFrame) -> DataFrame:
-    """(h, w, hub, m) of the prefix lists that hold two classes or more; of those that hold the same classes, one, for all ``w`` of them.
+    """(h, w) of the prefix lists that hold two classes or more; of those that hold the same classes, one, for all ``w`` of them.
 
     The shingles of a passage have the same list, so that copies of passages
     are matched once and not once a shingle. Lists are compared by count and
-    128 bits of their classes. The hub is the class that shares most of its
-    shingles, so the origin of variants, and ``m`` its size.
+    128 bits of their classes.
     """
-    one = post.groupBy("h").agg(F.count("*").alias("k"), F.bit_xor(F.xxhash64("id")).alias("x"), F.sum(F.xxhash64("id", F.lit(1)).cast("decimal(20,0)")).alias("y"), F.min(F.struct((-F.col("c")).alias("c"), "id", "n")).alias("hub"), F.min("id").alias("least"), F.max("id").alias("last"))
-    return one.where("least < last").groupBy("k", "x", "y").agg(F.min("h").alias("h"), F.count("*").alias("w"), F.min("hub").alias("hub")).select("h", "w", F.col("hub.id").alias("hub"), F.col("hub.n").alias("m"))
+    one = post.groupBy("h").agg(F.count("*").alias("k"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y"))
+    return one.where("k > 1").groupBy("k", "x", "y").agg(F.min("h").alias("h"), F.count("*").alias("w")).select("h", "w")
+
+
+def _hubs(post: DataFrame) -> DataFrame:
+    """(h, hub, m): the class of each list that shares most of its shingles, so the origin of variants, and its size."""
+    return post.groupBy("h").agg(F.min(F.struct((-F.col("c")).alias("c"), "id", "n")).alias("hub")).select("h", F.col("hub.id").alias("hub"), F.col("hub.n").alias("m"))
 
 
 def _links(texts: DataFrame, heads: DataFrame, hot: tuple[np.ndarray, np.ndarray], k: int, percent: int) -> DataFrame:
@@ -318,10 +323,10 @@ def _links(texts: DataFrame, heads: DataFrame, hot: tuple[np.ndarray, np.ndarray
     fits = F.least("n", "m") * 100 >= percent * F.greatest("n", "m")
     prefixes = table(_prefixes(texts, k, percent, hot).join(heads, "id", "left_semi"))  # copies are not compared
     post = table(_postings(prefixes, bloom(_shared_shingles(prefixes), SHINGLE_BITS)))
-    some = table(post.join(_merged_lists(post), "h").drop("c"))
+    some = table(post.join(_merged_lists(post), "h"))
     maps = prefixes.select("id", F.col("n").alias("size"), F.col("m").alias("map"))
     # first pass: each class with the hubs of its lists
-    stars = some.where("id <> hub").where(fits).groupBy("id", "hub").agg(F.sum("w").alias("c"))
+    stars = some.join(_hubs(some), "h").where("id <> hub").where(fits).groupBy("id", "hub").agg(F.sum("w").alias("c"))
     best = stars.groupBy("id").agg(F.slice(F.sort_array(F.collect_list(F.struct("c", (-F.col("hub")).alias("v"))), False), 1, HUBS).alias("top"))
     pairs = best.select("id", F.explode("top").alias("t")).withColumn("hub", -F.col("t.v"))
     pairs = table(pairs.select(F.greatest("id", "hub").alias("a"), F.least("id", "hub").alias("b")).distinct())
