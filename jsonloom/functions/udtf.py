@@ -30,6 +30,8 @@ class JsonNodes:
         tokens = TOKEN.findall(text or "")
         for i, t in enumerate(tokens):
             if t in ("}", "]"):
+                if not open_nodes:  # not a valid document; parse tells why
+                    return
                 open_nodes.pop()
             elif t[0] == '"' and tokens[i + 1 : i + 2] == [":"]:
                 key = json.loads(t)

@@ -17,6 +17,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.errors import deserialize_error
+from ..plans.options import ParseOptions
+from .nodes import nodes
+from .validate import parse
+
 #: Names of kinds in error texts.
 NAMES = {"object": "map", "array": "sequence", "string": "string", "int64": "integer", "uint64": "integer", "double": "floating point", "bool": "boolean", "null": "null"}
 INTEGERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.DecimalType)
@@ -46,6 +51,18 @@ def scalar(kind: T.DataType) -> tuple[Column, Column]:
     raise TypeError(f"no JSON value becomes {name}")
 
 
+def parse_typed(df: DataFrame, kind: T.DataType, json_col: str = "json", id_col: str = "doc_id", options: ParseOptions = ParseOptions()) -> DataFrame:
+    """``df`` with ``value`` and ``error`` in one call: an error of the parse, else one of code Deserialize where the value does not fit.
+
+    Rows are told apart by ``id_col``, which must be unique and not null.
+    """
+    checked = parse(df, json_col, options).withColumnRenamed("error", "_parse").drop("ok")
+    n = nodes(df, json_col, id_col, options)
+    made = materialize(n, n.where("parent_id IS NULL"), kind).select(F.col("doc_id").alias("_id"), "value", F.col("error").alias("_text"))
+    both = checked.join(made, F.col(id_col) == F.col("_id"), "left")
+    return both.select(*df.columns, "value", F.coalesce("_parse", deserialize_error(F.col("_text"))).alias("error"))
+
+
 def materialize(n: DataFrame, at: DataFrame, kind: T.DataType, positional: bool = False) -> DataFrame:
     """(doc_id, node_id, value, error) of the nodes ``at`` among all nodes ``n``.
 

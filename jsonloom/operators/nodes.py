@@ -154,8 +154,8 @@ def is_empty() -> Column:
 
 
 def raw_count() -> Column:
-    """The child count as a tape word holds it."""
-    return F.least(length(), F.lit(MAX_COUNT))
+    """The child count as a tape word holds it; null for scalars."""
+    return F.when(length().isNotNull(), F.least(length(), F.lit(MAX_COUNT)))
 
 
 def raw_text(n: DataFrame, docs: DataFrame, id_col: str = "doc_id", json_col: str = "json") -> DataFrame:

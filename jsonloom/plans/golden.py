@@ -132,3 +132,30 @@ TAPE = (
 )
 #: Samples whose contenders cross between 2,000 and 4,000 bytes.
 CROSSOVER = tuple((f"d{b}", c, b, s + e) for b, a, o in ((1000, 3.0, 1.0), (2000, 3.0, 2.0), (4000, 4.0, 5.0), (8000, 5.0, 9.0)) for c, s in (("a", a), ("b", o)) for e in (0.0, -0.1, 0.1))
+#: Fixed values: (document, as unsigned, as boolean, null, empty, raw count or -1).
+ACCESS = (
+    ("18446744073709551615", "18446744073709551615", None, False, None, -1),
+    ("true", None, True, False, None, -1),
+    ("null", None, None, True, None, -1),
+    ("[]", None, None, False, True, 0),
+    ('{"a":1,"b":[2]}', None, None, False, False, 2),
+    ('"x"', None, None, False, None, -1),
+)
+#: Fixed values: (document, as double, as a 128-bit integer, both null where they fail, whether it is a unit).
+WIDE = (
+    ("7", 7.0, "7", False),
+    ("18446744073709551615", 18446744073709551615.0, "18446744073709551615", False),
+    ("-9223372036854775808", -9223372036854775808.0, "-9223372036854775808", False),
+    ("1.5", 1.5, None, False),
+    ("18446744073709551616", 18446744073709551616.0, None, False),
+    ("null", None, None, True),
+    ('"7"', None, None, False),
+)
+#: Fixed values: (document, first or -1, second, error) of tuples of an integer and a string.
+TUPLES = (
+    ('[1,"x"]', 1, "x", ""),
+    ('[1,"x",2]', -1, None, "invalid length 3, expected fewer elements in array"),
+    ('{"_1":1}', -1, None, "invalid type: map, expected tuple"),
+)
+#: A document, and where its structural tokens stand in a stable sort by depth.
+SORTED = ('{"a":[{}]}', (0, 1, 3, 5, 6, 4, 2))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .golden import CROSSOVER, ENUMS, ERRORS, MAPS, NUMBERS, POSITIONS, STRINGS, TAPE
+from .golden import ACCESS, CROSSOVER, ENUMS, ERRORS, MAPS, NUMBERS, POSITIONS, SORTED, STRINGS, TAPE, TUPLES, WIDE
 
 
 def _text(x: object) -> str:
@@ -22,6 +22,11 @@ def _values(rows: list[tuple], columns: str, casts: str) -> str:
 NESTED = "(SELECT o.o_orderkey AS doc_id, l.* FROM orders o JOIN lineitem l ON o.o_orderkey = l.l_orderkey)"
 
 
+#: Documents before damage, the way they are damaged, and their length.
+DAMAGED = """(SELECT doc_id, lang, CASE WHEN doc_id % 20 = 3 THEN (doc_id // 20) % 4 END AS way,
+  length('{"id":' || doc_id || ',"lang":"' || lang || '","n":' || n_chars || '}') AS size FROM documents)"""
+
+
 def oracle_sql() -> dict[str, str]:
     errors = [(i, policy, e, s if policy == "stage" else f) for i, (_, _, e, s, f) in enumerate(ERRORS) for policy in ("stage", "earliest")]
     sizes = "octet_length(encode(%s))"
@@ -53,5 +58,15 @@ def oracle_sql() -> dict[str, str]:
         "tape_buffers": f"SELECT o_orderkey AS doc_id, 17::BIGINT AS words, (length('o_orderkeyo_custkeyo_orderstatuso_totalpriceo_orderpriority') + length(o_orderstatus) + {sizes % 'o_orderpriority'} + 7 * 5)::BIGINT AS bytes, 'o_orderkey' AS first_string, '{{' AS tag, 5::BIGINT AS members FROM orders".replace("{{", "{"),
         "gen_corpus": "WITH t AS (SELECT row_number() OVER (ORDER BY n_nationkey) - 1 AS k, '{\"n_nationkey\":' || n_nationkey || ',\"n_name\":\"' || n_name || '\"}' AS j, count(*) OVER () AS m FROM nation), r AS (SELECT i, j, 1 + sum(length(j) + 1) OVER (ORDER BY i) AS upto FROM range(1000) s(i) JOIN t ON i % m = k), c AS (SELECT i, j FROM (SELECT *, coalesce(lag(upto) OVER (ORDER BY i), 1) AS before FROM r) WHERE before < 5000) SELECT 0::BIGINT AS doc_id, length(d)::BIGINT AS bytes, n AS records, md5(d) AS md5 FROM (SELECT '[' || string_agg(j, ',' ORDER BY i) || ']' AS d, count(*) AS n FROM c)",
         "crossover": f"WITH s AS ({_values(list(CROSSOVER), 'dataset, contender, bytes, seconds', 'dataset, contender, bytes::BIGINT AS bytes, seconds::DOUBLE AS seconds')}), m AS (SELECT dataset, contender, bytes, median(seconds) AS seconds FROM s GROUP BY ALL), w AS (SELECT a.bytes, a.seconds - b.seconds AS d FROM m a JOIN m b USING (dataset) WHERE a.contender = 'a' AND b.contender = 'b'), l AS (SELECT bytes, d, lag(d) OVER (ORDER BY bytes) AS d0, lag(bytes) OVER (ORDER BY bytes) AS b0 FROM w) SELECT round(b0 + (bytes - b0) * d0 / (d0 - d), 3) AS bytes FROM l WHERE d0 > 0 AND d <= 0 ORDER BY 1 LIMIT 1",
+        "errors_of_table": f"SELECT doc_id, way IS NULL AS ok, CASE way WHEN 2 THEN 'MissingColon' WHEN 3 THEN 'MissingComma' ELSE CASE WHEN way IS NULL THEN '' ELSE 'UnbalancedBrackets' END END AS error, a AS \"at\", CASE WHEN way IS NULL THEN -1 ELSE a * 4294967296 + CASE way WHEN 2 THEN 16 WHEN 3 THEN 17 ELSE 20 END END::BIGINT AS packed, error AS unpacked FROM (SELECT *, CASE way WHEN 0 THEN 0 WHEN 1 THEN size WHEN 2 THEN 5 WHEN 3 THEN size + 1 ELSE -1 END::BIGINT AS a FROM {DAMAGED})",
+        "typed_in_one_call": f"SELECT doc_id, CASE WHEN error = '' THEN doc_id ELSE -1 END::INT AS id, CASE WHEN error = '' THEN lang END AS lang, error FROM (SELECT *, CASE WHEN way IS NOT NULL THEN 'Syntax' WHEN doc_id > 127 THEN 'Deserialize' ELSE '' END AS error FROM {DAMAGED})",
+        "scalar_accessors": _values([(i, *r) for i, (_, *r) in enumerate(ACCESS)], "doc_id, u64, b, is_null, is_empty, raw_count", "doc_id::BIGINT AS doc_id, u64, b::BOOLEAN AS bool, is_null, is_empty::BOOLEAN AS is_empty, raw_count::BIGINT AS raw_count"),
+        "typed_wide": _values([(i, *r) for i, (_, *r) in enumerate(WIDE)], "doc_id, r, whole, unit", "doc_id::BIGINT AS doc_id, r::DOUBLE AS real, whole, unit"),
+        "typed_tuple": _values([(i, *r) for i, (_, *r) in enumerate(TUPLES)], "doc_id, a, b, error", "doc_id::BIGINT AS doc_id, a::BIGINT AS a, b, error"),
+        "depth_sort": _values(list(enumerate(SORTED[1])), "skel, place", "skel::INT AS skel, place::INT AS place"),
+        "record_checksum": "SELECT count(*) AS records, bit_xor(o_orderkey + (o_orderstatus = 'O')::BIGINT)::BIGINT AS id_xor, sum(strlen(o_orderpriority))::BIGINT AS bytes, CASE WHEN count(*) % 2 = 1 THEN 4607182418800017408 ELSE 0 END::BIGINT AS score_xor FROM orders",
+        "feed_records": "SELECT count(*) AS docs, sum(i * 1000003 + 9007199254740993)::BIGINT AS ids, (count(*) * 2)::BIGINT AS unsigned, count_if(i % 5 = 0)::BIGINT AS without, count_if(i % 2 = 0)::BIGINT AS urls FROM range(200) t(i)",
+        "sql_functions": "SELECT n_nationkey, 3::BIGINT AS nodes, n_name AS name FROM nation",
+        "stream_counts": "SELECT event_type, count(*) AS docs FROM events GROUP BY event_type",
         "nodes_relational": "SELECT status, place::INT AS place, doc_id, price FROM (SELECT o_orderstatus AS status, o_orderkey AS doc_id, o_totalprice AS price, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_totalprice DESC, o_orderkey) AS place FROM orders) WHERE place <= 3",
     }

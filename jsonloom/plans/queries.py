@@ -6,13 +6,16 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.errors import pack, unpack
 from ..functions.scalars import number_kind, string_error
+from ..functions.udtf import register
 from ..operators import materialize as typed
 from ..operators import navigate, nodes, stats, tape, tokens, validate
 from ..sources import generate
 from ..sources.sinks import to_documents
+from ..streaming.stream import parse_stream
 from . import report
-from .golden import CROSSOVER, ENUMS, ERRORS, MAPS, NUMBERS, POSITIONS, STRINGS, TAPE
+from .golden import ACCESS, CROSSOVER, ENUMS, ERRORS, MAPS, NUMBERS, POSITIONS, SORTED, STRINGS, TAPE, TUPLES, WIDE
 from .options import ParseOptions
 
 
@@ -238,6 +241,83 @@ def nodes_relational(spark, sf):
     return o.join(price, "doc_id").withColumn("place", F.row_number().over(w)).where("place <= 3").select("status", "place", "doc_id", "price")
 
 
+def damaged(spark, sf):
+    """Documents of which one in twenty is damaged, in four ways."""
+    j = F.format_string('{"id":%d,"lang":"%s","n":%d}', "doc_id", "lang", "n_chars")
+    way = F.when(F.col("doc_id") % 20 == 3, F.floor(F.col("doc_id") / 20) % 4)
+    broken = F.when(way == 0, F.expr("left(j, length(j) - 1)")).when(way == 1, F.concat("j", F.lit("}"))).when(way == 2, F.regexp_replace("j", '^\\{"id":', '{"id"')).when(way == 3, F.concat("j", F.lit(" x"))).otherwise(F.col("j"))
+    return read(spark, sf, "documents").withColumn("j", j).select("doc_id", broken.alias("json"))
+
+
+def errors_of_table(spark, sf):
+    """Errors of damaged documents, whose ids are no help: all are null while they are parsed."""
+    d = damaged(spark, sf).select(F.lit(None).cast("bigint").alias("doc_id"), "json", F.col("doc_id").alias("row"))
+    p = validate.parse(d).withColumn("packed", pack(F.col("error")))
+    return p.select(F.col("row").alias("doc_id"), "ok", F.coalesce("error.kind", F.lit("")).alias("error"), F.coalesce("error.offset", F.lit(-1)).alias("at"), "packed", F.coalesce(unpack(F.col("packed"))["name"], F.lit("")).alias("unpacked"))
+
+
+def typed_in_one_call(spark, sf):
+    """Typed values of damaged documents, with errors of both sorts: ids over 127 do not fit."""
+    v = typed.parse_typed(damaged(spark, sf), T.StructType.fromDDL("id tinyint, lang string"))
+    return v.select("doc_id", F.coalesce(F.col("value.id").cast("int"), F.lit(-1)).alias("id"), F.col("value.lang").alias("lang"), F.coalesce("error.code", F.lit("")).alias("error"))
+
+
+def scalar_accessors(spark, sf):
+    n = nodes.root(parsed(golden(spark, [(i, t) for i, (t, *_) in enumerate(ACCESS)], "doc_id bigint, json string")))
+    return n.select("doc_id", nodes.as_u64().cast("string").alias("u64"), nodes.as_bool().alias("bool"), nodes.is_null().alias("is_null"), nodes.is_empty().alias("is_empty"), F.coalesce(nodes.raw_count(), F.lit(-1)).cast("bigint").alias("raw_count"))
+
+
+def typed_wide(spark, sf):
+    """Widening to doubles, 128-bit integers and the unit."""
+    n = parsed(golden(spark, [(i, t) for i, (t, *_) in enumerate(WIDE)], "doc_id bigint, json string"))
+    r = nodes.root(n)
+    real, whole = (typed.materialize(n, r, kind).select("doc_id", F.col("value").alias(name)) for kind, name in ((T.DoubleType(), "real"), (T.DecimalType(38, 0), "whole")))
+    unit = typed.unit(n, r).select("doc_id", F.col("error").isNull().alias("unit"))
+    return real.join(whole, "doc_id").join(unit, "doc_id").select("doc_id", "real", F.col("whole").cast("string").alias("whole"), "unit")
+
+
+def typed_tuple(spark, sf):
+    n = parsed(golden(spark, [(i, t) for i, (t, *_) in enumerate(TUPLES)], "doc_id bigint, json string"))
+    v = typed.as_tuple(n, nodes.root(n), [T.LongType(), T.StringType()])
+    return v.select("doc_id", F.coalesce("value._1", F.lit(-1).cast("bigint")).alias("a"), F.col("value._2").alias("b"), F.coalesce("error", F.lit("")).alias("error"))
+
+
+def depth_sort(spark, sf):
+    d = golden(spark, [(0, SORTED[0])], "doc_id bigint, json string")
+    return tokens.depth_order(tokens.skeleton(tokens.tokens(d))).select(F.col("skel").cast("int").alias("skel"), "place")
+
+
+def record_checksum(spark, sf):
+    o = read(spark, sf, "orders")
+    return stats.checksum(o, "o_orderkey", F.col("o_orderstatus") == "O", F.col("o_orderpriority"), F.lit(1.0))
+
+
+def feed_records(spark, sf):
+    """The record generator's edges, read back from its documents."""
+    d = generate.feed(spark, 200)
+    n = parsed(d)
+    ids = nodes.get(n, nodes.root(n), "id").agg(F.count("*").alias("docs"), F.sum("i64").alias("ids"))
+    edges = n.agg(F.count_if(F.col("kind") == "uint64").alias("unsigned"), F.count_if((F.col("key") == "description") & (F.col("kind") == "null")).alias("without"), F.count_if(F.col("key") == "url").alias("urls"))
+    return ids.join(edges)  # a row each
+
+
+def sql_functions(spark, sf):
+    """Tokens and nodes by the table functions, in SQL."""
+    register(spark)
+    read(spark, sf, "nation").select("n_nationkey", F.to_json(F.struct("n_nationkey", "n_name")).alias("json")).createOrReplaceTempView("nation_documents")
+    return spark.sql("SELECT n_nationkey, count(*) AS nodes, max(CASE WHEN key = 'n_name' THEN value END) AS name FROM nation_documents, LATERAL json_nodes(json) GROUP BY n_nationkey")
+
+
+def stream_counts(spark, sf):
+    """Good documents of each type, counted by a stream over the table's files."""
+    held = read(spark, sf, "events")
+    s = spark.readStream.schema(held.schema).parquet(f"{sf}/event[s].parquet").withColumnRenamed("props", "json")
+    good = parse_stream(s).where("ok").groupBy("event_type").agg(F.count("*").alias("docs"))
+    q = good.writeStream.format("memory").queryName("stream_counts").outputMode("complete").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.table("stream_counts")
+
+
 def queries() -> dict:
-    names = (flagship_events, validate_counts, error_report, token_counts, depth_profile, child_counts, number_kinds, string_errors, unescape_roundtrip, record_offsets, get_path, at_index, row_local_navigation, entries, elements, descendants, duplicates, stats_walk, typed_struct, typed_array, typed_positional, typed_map_keys, typed_enum, tape_words, tape_buffers, gen_corpus, crossover, nodes_relational)
+    names = (flagship_events, validate_counts, error_report, token_counts, depth_profile, child_counts, number_kinds, string_errors, unescape_roundtrip, record_offsets, get_path, at_index, row_local_navigation, entries, elements, descendants, duplicates, stats_walk, typed_struct, typed_array, typed_positional, typed_map_keys, typed_enum, tape_words, tape_buffers, gen_corpus, crossover, nodes_relational, errors_of_table, typed_in_one_call, scalar_accessors, typed_wide, typed_tuple, depth_sort, record_checksum, feed_records, sql_functions, stream_counts)
     return {f.__name__: f for f in names}

@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 
 OPTIONS = {"ignoreNullFields": "false"}
 
+#: The first whole number that a double does not hold; edges of the number kinds.
+PAST_DOUBLES = 2**53 + 1
+EDGES = ("9223372036854775807BD", "-9223372036854775808BD", "9223372036854775808BD", "18446744073709551615BD", "0BD")
+
 
 def parse_size(text: str) -> int:
     """Bytes of a size such as 512k, 4m, 1g or plain digits."""
@@ -39,17 +43,18 @@ def feed_record(i: Column) -> Column:
     text = lambda c: c.cast("string")
     mod = lambda m: F.pmod(i, F.lit(m))
     return F.struct(
-        (i * 1_000_003 + 500_000_000_000).alias("id"),
-        text(i * 1_000_003 + 500_000_000_000).alias("id_str"),
+        (i * 1_000_003 + PAST_DOUBLES).alias("id"),
+        text(i * 1_000_003 + PAST_DOUBLES).alias("id_str"),
         F.format_string("Mon Jan %02d %02d:%02d:%02d +0000 2024", mod(28) + 1, mod(24), mod(60), mod(60)).alias("created_at"),
         F.concat(F.lit("record "), text(i), F.lit(' says "hi"\n\t'), F.lit("é ☃ 😀 \\ /")).alias("text"),
         (mod(2) == 0).alias("truncated"),
-        F.struct(mod(997).alias("id"), F.concat(F.lit("user_"), text(mod(997))).alias("screen_name"), F.concat(F.lit("Name "), text(mod(97))).alias("name"), (mod(5000) * 3).alias("followers_count"), (mod(7) == 0).alias("verified"), F.lit("").alias("description")).alias("user"),
+        F.struct(mod(997).alias("id"), F.concat(F.lit("user_"), text(mod(997))).alias("screen_name"), F.concat(F.lit("Name "), text(mod(97))).alias("name"), (mod(5000) * 3).alias("followers_count"), (mod(7) == 0).alias("verified"), F.when(mod(5) != 0, F.concat(F.lit("describes "), text(mod(89)))).alias("description")).alias("user"),
         mod(101).alias("retweet_count"),
         mod(53).alias("favorite_count"),
         F.when(mod(4) == 0, F.array(mod(180) - 90.5, mod(360) - 180.25)).alias("coordinates"),
         F.element_at(F.array(*map(F.lit, ("en", "fr", "de", "ja"))), (mod(4) + 1).cast("int")).alias("lang"),
-        F.struct(F.transform(F.sequence(F.lit(0).cast("bigint"), mod(3)), lambda k: F.struct(F.concat(F.lit("tag"), text(k)).alias("text"), F.array(k * 5, k * 5 + 4).alias("indices"))).alias("hashtags")).alias("entities"),
+        F.struct(F.transform(F.sequence(F.lit(0).cast("bigint"), mod(3)), lambda k: F.struct(F.concat(F.lit("tag"), text(k)).alias("text"), F.array(k * 5, k * 5 + 4).alias("indices"))).alias("hashtags"), F.when(mod(2) == 0, F.array(F.struct(F.concat(F.lit("https://example.com/"), text(i)).alias("url"), F.array(F.lit(0), F.lit(23)).alias("indices")))).otherwise(F.array().cast("array<struct<url:string,indices:array<int>>>")).alias("urls")).alias("entities"),
+        F.struct(F.array(*[F.expr(x) for x in EDGES]).alias("whole"), F.array(F.lit(0.1), F.lit(-2.5e-7), F.lit(1.7976931348623157e308), F.lit(5e-324)).alias("real")).alias("edge_numbers"),
         F.when(mod(3) == 0, i + 1).alias("in_reply_to_status_id"),
     )
 
