@@ -8,6 +8,10 @@ Skew: a key may be in a third of all documents. The range key is (hash, salt)
 with the salt taken from the document, so such a key spreads over ``SALTS``
 runs. A run's later documents are known to be repeats at once; only each run's
 first document meets the other runs of its key, at most ``SALTS`` documents.
+
+Texts are split and hashed once: the narrow hashes are written to the shared
+folder before ranges are sampled from them, and the sorted runs' verdicts after
+the one shuffle of all lines.
 """
 
 from __future__ import annotations
@@ -15,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, ascii_lower, pick
+from .common import SPACE, ascii_lower, drop_table, pick, table
 
 #: Runs over which the lines of one key are spread.
 SALTS = 256
@@ -41,8 +45,11 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 10, salts: int = SALTS, id_co
     hashed = lines.where(F.char_length("key") >= min_chars).select(
         F.xxhash64("key").alias("h1"), F.hash("key").alias("h2"), F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int").alias("salt"), "doc_id", "pos"
     )
+    hashed = table(hashed)
     run = Window.partitionBy("h1", "h2", "salt").orderBy("doc_id", "pos").rowsBetween(Window.unboundedPreceding, 0)
     firsts = hashed.repartitionByRange("h1", "h2", "salt").withColumn("first", F.first("doc_id").over(run)).withColumn("again", ~F.col("doc_id").eqNullSafe(F.col("first")))
+    firsts = table(firsts.select("h1", "h2", "doc_id", "pos", "again"))
+    drop_table(hashed)
     across = Window.partitionBy("h1", "h2").orderBy("doc_id", "pos").rowsBetween(Window.unboundedPreceding, 0)
     heads = firsts.where(~F.col("again")).withColumn("first", F.first("doc_id").over(across))
     drops = firsts.where("again").select("doc_id", "pos").unionByName(heads.where(~F.col("doc_id").eqNullSafe(F.col("first"))).select("doc_id", "pos"))
