@@ -23,6 +23,8 @@ wrap. A text without punctuation is one clause, like its equals only.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -103,37 +105,46 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(a == b, F.lit(1.0)).otherwise(F.least(F.lit(0.999), F.greatest(F.lit(0.0), cosine)))
 
 
-def with_next(df: DataFrame, columns: list[str], id_col: str = "doc_id", blocks: int = 1024) -> DataFrame:
-    """``df`` with ``next_<c>``: column c of the next row by ascending id, after the last row the first one's.
+#: Bytes of text that a range of ids holds about, and the most ranges (what is collected: one id each).
+RANGE, MOST_RANGES = 32 << 20, 8192
+
+
+def _ranges(df: DataFrame, id_col: str, text_col: str) -> int:
+    """How many ranges of ``RANGE`` bytes the texts fill."""
+    size = df.agg(F.sum(F.octet_length(text_col).cast("bigint") + 64).alias("b")).first()["b"] or 0
+    return int(min(MOST_RANGES, max(8, -(-size // RANGE))))
+
+
+def with_next(df: DataFrame, add: Callable[[DataFrame], DataFrame], carried: list[str], id_col: str = "doc_id", text_col: str = "text", blocks: int | None = None) -> DataFrame:
+    """``add(df)`` with ``next_<c>``: column c (of ``carried``) of the next row by ascending id, after the last row the first one's.
 
-    Rows are dealt to at most ``blocks`` ranges of the id, cut at quantiles;
-    inside one the next row is a window's lead, and each range's last row takes
-    the first row of the next range. Nulls come first; ties go by ``columns``.
+    Rows are dealt to ``blocks`` ranges of the id, cut at quantiles, as many as
+    the texts' bytes ask for; inside one the next row is a window's lead, and
+    each range's last row takes the first row of the next range. Those first
+    rows are found on bare ids and texts, and ``add`` sees only them again.
+    Nulls come first; ties go by their texts.
     """
-    cuts = df.agg(F.percentile_approx(id_col, [i / blocks for i in range(1, blocks)], 10 * blocks).alias("c")).first()["c"]  # at most `blocks` numbers
+    blocks = blocks or _ranges(df, id_col, text_col)
+    cuts = df.agg(F.percentile_approx(id_col, [i / blocks for i in range(1, blocks)], 10 * blocks).alias("c")).first()["c"] if blocks > 1 else []  # at most `blocks` numbers
     cuts = sorted(set(cuts or []))
     # a binary search as a sum: how many cuts are at or under the id
-    number = F.lit(0)
+    df = df.withColumn("_block", F.lit(0))
     if cuts:
         all_cuts, step = F.array(*[F.lit(c) for c in cuts]), 1 << (len(cuts).bit_length() - 1)
-        df = df.withColumn("_block", F.lit(0))
         while step:
             df = df.withColumn("_block", F.when(F.coalesce(F.get(all_cuts, F.col("_block") + step - 1) <= F.col(id_col), F.lit(False)), F.col("_block") + step).otherwise(F.col("_block")))
             step >>= 1
-    else:
-        df = df.withColumn("_block", number)
     df = df.withColumn("_block", F.when(F.col(id_col).isNull(), F.lit(-1)).otherwise(F.col("_block")))
-    order = [F.col(id_col).asc_nulls_first(), *[F.col(c) for c in columns]]
-    inside = Window.partitionBy("_block").orderBy(*order)
-    row = F.struct(id_col, *columns)
-    led = df.withColumn("_next", F.lead(row).over(inside)).withColumn("_rank", F.row_number().over(inside))
-    heads = led.where("_rank = 1").withColumn("_head", row)  # a row for each range, off the same exchange
-    ring = Window.orderBy("_block")
+    inside = Window.partitionBy("_block").orderBy(F.col(id_col).asc_nulls_first(), F.col(text_col))
+    led = add(df).withColumn("_next", F.lead(F.struct(*carried)).over(inside))
+    heads = df.groupBy("_block").agg(F.min(F.struct(id_col, text_col)).alias("_first")).select("_block", f"_first.{id_col}", f"_first.{text_col}")
+    heads = add(heads).select("_block", F.struct(*carried).alias("_head"))
+    ring = Window.orderBy("_block")  # a row for each range
     whole = ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     heads = heads.select(F.col("_block").alias("_at"), F.coalesce(F.lead("_head").over(ring), F.first("_head").over(whole)).alias("_after"))
     both = led.join(heads, led["_block"] == heads["_at"])
     chosen = F.coalesce("_next", "_after")
-    return both.select(*[c for c in df.columns if c != "_block"], *[chosen[c].alias(f"next_{c}") for c in columns])
+    return both.select(*[c for c in led.columns if c not in ("_block", "_next")], *[chosen[c].alias(f"next_{c}") for c in carried])
 
 
 def compare_with_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -147,7 +158,7 @@ def compare_with_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     own next; an empty table gives no rows; tied ids go by their texts.
     """
     d = pick(docs, doc_id=id_col, text=text_col).withColumn("text", F.coalesce("text", F.lit("")))
-    d = with_next(with_fingerprint(d, F.col("text"), "fp"), ["text", "fp"])
+    d = with_next(d, lambda x: with_fingerprint(x, F.col("text"), "fp"), ["text", "fp"])
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half))
