@@ -14,6 +14,11 @@
    that, which no edge leads to: it is compared with all classes of its task
    instead. What is found is verified by cosine in double precision.
 
+5. Recall is audited: links of a hashed sample of classes are counted exactly
+   against all classes. Under ``RECALL`` the search is made again with every
+   class compared with its whole task and dealt to four times the shards, up to
+   all that its range may touch, where nothing is missed.
+
 Tasks return link counts and one edge per class, never pairs: a pair in
 several tasks counts in the one of its least common shard.
 """
@@ -34,6 +39,8 @@ CAP, SAMPLE, MOST_CENTROIDS = 1500, 20_000, 1024
 OVERLAP, DEGREE, CANDIDATES, ALPHA = 4, 24, 64, 1.2
 #: Beam of the greedy search; how far under the threshold the range search still expands.
 BEAM, SLACK = 16, 0.03
+#: Classes audited, at most, of all and again of those with links (what is broadcast); the least recall that is accepted.
+AUDIT, RECALL = 200, 0.9
 
 
 def centroids(x: np.ndarray, k: int, steps: int = 8, seed: int = 0) -> np.ndarray:
@@ -163,33 +170,64 @@ def _unit(v: np.ndarray) -> np.ndarray:
     return scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
 
 
-def near_vectors(vectors: DataFrame, least: float = 0.95, cap: int = CAP, sample: int = SAMPLE, overlap: int = OVERLAP, seed: int = 0, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(vec_id, n_links, component_id, kept) of every row of ``vectors``.
+def near_vectors(vectors: DataFrame, least: float = 0.95, cap: int = CAP, sample: int = SAMPLE, overlap: int = OVERLAP, seed: int = 0, id_col: str = "vec_id", vector_col: str = "embedding", audit: int = AUDIT) -> DataFrame:
+    """(vec_id, n_links, component_id, kept, recall) of every row of ``vectors``.
 
     ``n_links`` counts other rows at cosine ``least`` or more that the search
     found, ``component_id`` is the smallest vec_id reachable over links, and
     ``kept`` says whether that is the row's own. Vectors that are null, empty,
     zero or hold null or non-finite components link with nothing; so do ones
     of different lengths. Rows of one vec_id are rows of their own and linked
-    through their name. An empty table gives no rows.
+    through their name. An empty table gives no rows. ``recall`` is the same in
+    every row: the audited share of links between different vectors that the
+    search found, 1 where the sample has none, null where ``audit`` is 0.
     """
     v = pick(vectors, vec_id=id_col, e=vector_col)
     fine = F.coalesce(F.forall("e", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("e", lambda x: x != 0), F.lit(False))
     v = v.withColumn("key", F.when(F.col("vec_id").isNotNull() & fine, F.sha2(F.to_json(F.struct("e")), 256)))
     good = v.where("key IS NOT NULL")
     classes = table(good.groupBy("key").agg(F.min(F.struct("vec_id", "e")).alias("f"), F.count("*").alias("m")).select("key", F.col("f.vec_id").alias("id"), F.col("f.e").alias("e"), "m").withColumn("dim", F.size("e")).withColumn("c", F.xxhash64("key")))
-    counted, star = _search(classes, least, cap, sample, overlap, seed)
+    whole, reach = False, overlap
+    while True:
+        counted, star, shards = _search(classes, least, cap, sample, reach, seed, whole)
+        recall = audited(classes, counted, least, audit, seed) if audit else None
+        if recall is None or recall >= RECALL or (whole and reach >= shards):
+            break
+        whole, reach = True, 4 * reach
     of_class = classes.select("key", "c", "id", "m").join(counted, "c", "left").select("key", F.col("id").alias("cid"), (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("links"))
     member = v.join(of_class, "key", "left")
     own = member.where("cid <> vec_id").select(F.col("vec_id").alias("a"), F.col("cid").alias("b")).distinct()
     roots = components(star.unionByName(own))
     named = member.select("vec_id", F.coalesce("links", F.lit(0)).cast("bigint").alias("n_links")).join(roots, F.col("vec_id") == F.col("node"), "left")
     named = named.withColumn("component_id", F.coalesce("root", "vec_id"))
-    return named.select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    return named.select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)).alias("kept"), F.lit(recall).cast("double").alias("recall"))
+
+
+def audited(classes: DataFrame, counted: DataFrame, least: float, queries: int, seed: int) -> float:
+    """Share of the links of sampled classes that ``counted`` has: each is compared with all of ``classes``, without a shuffle of vectors."""
+    order = F.xxhash64("c", F.lit(seed + 1)), F.col("c")
+    names = classes.orderBy(*order).limit(queries).select("c").unionByName(counted.where("links > 0").orderBy(*order).limit(queries).select("c")).distinct()
+    asked = classes.join(F.broadcast(names), "c").join(counted, "c", "left").select("c", "dim", "e", F.coalesce("links", F.lit(0)).alias("links")).toPandas()  # 2 * queries rows at most
+    held = {int(dim): (g["c"].to_numpy(), _unit(_stack(g["e"]))) for dim, g in asked.groupby("dim")}
+    shared = classes.sparkSession.sparkContext.broadcast(held)
+
+    def exact(frames):
+        for f in frames:
+            for dim, g in f.groupby("dim"):
+                if int(dim) in shared.value:
+                    c, q = shared.value[int(dim)]
+                    hit = (_unit(_stack(g["e"])) @ q.T >= least) & (g["c"].to_numpy()[:, None] != c[None, :])
+                    yield pd.DataFrame({"c": c, "n": g["m"].to_numpy() @ hit})
+
+    full = classes.select("c", "m", "dim", "e").mapInPandas(exact, "c bigint, n bigint").agg(F.sum("n").alias("n")).first()["n"] or 0
+    return min(1.0, float(asked["links"].sum()) / full) if full else 1.0
 
 
-def _search(classes: DataFrame, least: float, cap: int, sample: int, overlap: int, seed: int) -> tuple[DataFrame, DataFrame]:
-    """(c, links) and edges (a, b) between classes; c is a 64-bit name of a class."""
+def _search(classes: DataFrame, least: float, cap: int, sample: int, overlap: int, seed: int, whole: bool = False) -> tuple[DataFrame, DataFrame, int]:
+    """(c, links), edges (a, b) between classes, and the most centroids of a length; c is a 64-bit name of a class.
+
+    With ``whole`` every class is compared with all of its task.
+    """
     spark = classes.sparkSession
     dims = [r["dim"] for r in classes.groupBy("dim").agg(F.count("*").alias("c")).orderBy(F.desc("c")).limit(64).collect()]
     n = classes.count()
@@ -246,7 +284,7 @@ def _search(classes: DataFrame, least: float, cap: int, sample: int, overlap: in
         width = np.bincount(both[:, 0], minlength=n)
         adjacency = np.full((n, max(1, width.max(initial=0))), -1, np.int64)
         adjacency[both[:, 0], np.arange(len(both)) - np.repeat(np.cumsum(width) - width, width)] = both[:, 1]
-        dense = f["dense"].to_numpy(bool)
+        dense = f["dense"].to_numpy(bool) | whole
         key = np.union1d(range_search(x, adjacency, np.nonzero(~dense)[0], least), compared(x, np.nonzero(dense)[0], least))
         i, j = key // n, key % n
         if b1 != b2:
@@ -275,4 +313,4 @@ def _search(classes: DataFrame, least: float, cap: int, sample: int, overlap: in
         return pd.DataFrame({"c": names[some], "links": links[some].astype(np.int64), "a": ids[some], "b": ids[root[some]]})
 
     found = table(tasks.join(united, "c", "left").groupBy(*by).applyInPandas(search, "c bigint, links bigint, a bigint, b bigint"))
-    return found.groupBy("c").agg(F.sum("links").alias("links")), found.where("a <> b").select("a", "b").distinct()
+    return found.groupBy("c").agg(F.sum("links").alias("links")), found.where("a <> b").select("a", "b").distinct(), k

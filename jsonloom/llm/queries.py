@@ -58,7 +58,7 @@ def op8_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return embedding_dedup.near_vectors(read(spark, sf_dir, "embeddings"))
+    return embedding_dedup.near_vectors(read(spark, sf_dir, "embeddings")).select("vec_id", "n_links", "component_id", "kept")
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

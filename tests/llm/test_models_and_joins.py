@@ -155,6 +155,29 @@ def test_embeddings_of_dense_groups(spark):
         assert links.sum() > 100 * groups * size and (got <= links).all() and got.sum() >= 0.99 * links.sum()
 
 
+def test_embeddings_are_audited(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    x = [c + rng.normal(size=16) * 0.06 for c in rng.normal(size=(12, 16)) for _ in range(14)]
+    x += [x[0], x[20] * 3]
+    d = spark.createDataFrame([(i, [float(v) for v in e], "x") for i, e in enumerate(x)], "vec_id bigint, embedding array<double>, C string")
+    u = np.array(x) / np.linalg.norm(x, axis=1)[:, None]
+    near = u @ u.T >= 0.95
+    root = np.arange(len(x))
+    for _ in x:
+        root = np.array([root[n].min() for n in near])
+    real = embedding_dedup.audited
+    said = []
+
+    def doubted(classes, counted, *more):
+        said.append((real(classes, counted, *more), real(classes, counted.limit(0), *more)))
+        return 0.0  # so that the search ends in the exact way
+
+    monkeypatch.setattr(embedding_dedup, "audited", doubted)
+    got = embedding_dedup.near_vectors(d, cap=60).toPandas().sort_values("vec_id")
+    assert len(said) == 2 and said[0][0] >= 0.9 and said[1] == (1.0, 0.0)
+    assert (got["n_links"].to_numpy() == near.sum(axis=1) - 1).all() and (got["component_id"].to_numpy() == root).all()
+
+
 def test_packing(spark):
     path = public_tokenizers.path("byte_bpe_50k.json")
     words = "the of été don't x1,y2 (a) 12 --".split()
