@@ -18,6 +18,7 @@ import math
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -38,7 +39,7 @@ SWAPS = str.maketrans("@430$1!5+", "aaeosiist")
 RANK = {w: i + 1 for i, w in enumerate(WORDS)}
 LONGEST = max(map(len, WORDS))
 NEXT = {a + b for row in ROWS for a, b in zip(row, row[1:], strict=False)} | {b + a for row in ROWS for a, b in zip(row, row[1:], strict=False)}
-DATE = re.compile(r"(?:19|20)\d\d[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:19|20)\d\d|(?:19|20)\d\d")
+DATES = tuple(map(re.compile, (r"(?:19|20)\d\d[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:0[1-9]|[12]\d|3[01])", r"(?:0[1-9]|[12]\d|3[01])[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:19|20)\d\d", r"(?:19|20)\d\d")))
 #: Guesses, as powers of ten, from which a value counts as a secret.
 LEAST = 10.0
 
@@ -47,27 +48,52 @@ def _alphabet(c: str) -> float:
     return math.log10(10 if c.isdigit() else 26 if c.isalpha() and c.isascii() else 33 if c.isascii() else 100)
 
 
+def _copies(code: np.ndarray) -> dict[int, list[tuple[int, int]]]:
+    """For each end, ranges (first, last) of starts from which the value repeats what stands a unit of two or more before, for a unit at least."""
+    n, out = len(code), {}
+    first = np.full(n + 1, n + 1)  # a start that a shorter unit reaches from this end is not listed again
+    for unit in range(2, n // 2 + 1):
+        same = code[unit:] == code[:-unit]
+        edges = np.concatenate(([-1], np.flatnonzero(~same), [len(same)]))
+        for k in np.flatnonzero(np.diff(edges) > unit):
+            start, end = int(edges[k]) + 1 + unit, int(edges[k + 1]) + unit
+            ends = np.arange(start + unit, end + 1)
+            ends = ends[first[ends] > start]
+            first[ends] = start
+            for i in ends.tolist():
+                out.setdefault(i, []).append((start, i - unit))
+    return out
+
+
 def guess_cost(value: str) -> float:
     """log10 of the guesses that the cheapest segmentation of ``value`` takes.
 
-    cost[i] is the least over last spans that end at i. A word costs its rank
-    (twice for capitals, twice for swapped characters), a date 365.25 x 120
-    (a year alone 120), a repeat its unit times its count, a keyboard walk 47
-    starts and two turns a step, brute force its alphabet per character (hex
-    digits 16 in values of hex digits only). Each span further adds a factor
-    for the order of spans. Linear in the length but for words and repeats of
-    bounded length. An empty value costs 0.
+    cost[i] is the least over all last spans that end at i, so the result is
+    the least over all segmentations. A word costs its rank (twice for
+    capitals, twice for swapped characters), a date 365.25 x 120 (a year alone
+    120), three or more equal characters their alphabet times their count, a
+    keyboard walk of four or more 47 starts and two turns a step, a repeat (of
+    two characters or more, once or more) the number of characters repeated,
+    brute force its alphabet per character (hex digits 16 in values of hex
+    digits only). Each span but brute force further adds a factor for the order
+    of spans. Square in the length for the repeats, over bytes in numpy. An
+    empty value costs 0.
     """
     n = len(value)
     plain = value.lower().translate(SWAPS)
     lower = value.lower()
+    if len(lower) != n:  # a letter whose lower case is longer
+        plain, lower = value.translate(SWAPS), value
     hexed = bool(re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", value))
-    cost = [0.0] + [math.inf] * n
+    cost, place = np.zeros(n + 1), np.arange(n + 1)
+    logs = np.log10(np.maximum(place, 1))
     dates: dict[int, list[tuple[int, float]]] = {}
     for start in range(n):
-        if m := DATE.match(value, start):
-            dates.setdefault(m.end(), []).append((start, math.log10(120 if m.end() - start == 4 else 365.25 * 120)))
-    walk = run = 0  # where the walk and the repeat that reach i - 1 start
+        for date in DATES:
+            if m := date.match(value, start):
+                dates.setdefault(m.end(), []).append((start, math.log10(120 if m.end() - start == 4 else 365.25 * 120)))
+    copies = _copies(np.frombuffer(value.encode("utf-32-le", "surrogatepass"), np.uint32))
+    walk = run = 0  # where the longest walk and run of equal characters that end at i start
     for i in range(1, n + 1):
         c = value[i - 1]
         best = cost[i - 1] + (math.log10(16) if hexed else _alphabet(c))
@@ -81,20 +107,15 @@ def guess_cost(value: str) -> float:
             if lower[i - 2 : i] not in NEXT:
                 walk = i - 1
             if i - walk >= 4:
-                best = min(best, cost[walk] + math.log10(47) + 0.3 * (i - walk))
+                best = min(best, math.log10(47) + (cost[walk : i - 3] + 0.3 * (i - place[walk : i - 3])).min())
             if value[i - 1] != value[i - 2]:
                 run = i - 1
             if i - run >= 3:
-                best = min(best, cost[run] + _alphabet(c) + math.log10(i - run) + 0.3)
-            for unit in range(2, min(8, i // 2) + 1):  # a repeated unit
-                if value[i - unit : i] == value[i - 2 * unit : i - unit]:
-                    times = 2
-                    while i - (times + 1) * unit >= 0 and times < 64 and value[i - (times + 1) * unit : i - times * unit] == value[i - unit : i]:
-                        times += 1
-                    start = i - times * unit
-                    best = min(best, cost[start + unit] + math.log10(times) + 0.3)
+                best = min(best, _alphabet(c) + 0.3 + (cost[run : i - 2] + logs[i - place[run : i - 2]]).min())
+        for start, last in copies.get(i, ()):
+            best = min(best, 0.3 + (cost[start : last + 1] + logs[i - place[start : last + 1]]).min())
         cost[i] = best
-    return cost[n]
+    return float(cost[n])
 
 
 def spans_of(text: str, least: float = LEAST) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:

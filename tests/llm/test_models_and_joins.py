@@ -240,6 +240,38 @@ def test_secrets_of_any_length():
     assert secrets.spans_of("pwd: " + "a" * 600 + value[:30] + " x")[1] == [(5, 635, "guess")]
 
 
+def test_guess_cost_is_the_least_of_all_segmentations():
+    def alike(v, a, b):
+        return any(a >= u and b - a >= u and v[a:b] == v[a - u : b - u] for u in range(2, b - a + 1))
+
+    def span(v, a, b, hexed):
+        part, low = v[a:b], v[a:b].lower()
+        plain, size = low.translate(secrets.SWAPS), b - a
+        each = [np.log10(16) if hexed else secrets._alphabet(c) for c in part]
+        ways = [sum(each)]
+        if size >= 2 and plain in secrets.RANK:
+            ways.append(np.log10(secrets.RANK[plain] + 1) + 0.3 * (part != low) + 0.3 * (plain != low) + 0.3)
+        if any(p.fullmatch(part) for p in secrets.DATES):
+            ways.append(np.log10(120 if size == 4 else 365.25 * 120) + 0.3)
+        if size >= 4 and all(x + y in secrets.NEXT for x, y in zip(low, low[1:])):
+            ways.append(np.log10(47) + 0.3 * size)
+        if size >= 3 and len(set(part)) == 1:
+            ways.append(secrets._alphabet(part[0]) + np.log10(size) + 0.3)
+        if alike(v, a, b):
+            ways.append(np.log10(size) + 0.3)
+        return min(ways)
+
+    rng = np.random.default_rng(4)
+    pieces = ["password", "P4ss", "19991231", "2024", "12/03/2001", "qwerty", "asdf", "aaaa", "abab", "xyz9", "0000", "K7#", "qwqw", "ab12ab12", "deadbeef", "é"]
+    for _ in range(300):
+        v = "".join(rng.choice(pieces, rng.integers(1, 5)))
+        hexed = bool(re.fullmatch("[0-9a-f]+|[0-9A-F]+", v))
+        best = [0.0]
+        for i in range(1, len(v) + 1):
+            best.append(min(best[a] + span(v, a, i, hexed) for a in range(i)))
+        assert abs(secrets.guess_cost(v) - best[-1]) < 1e-9, v
+
+
 def test_guess_cost():
     cost = secrets.guess_cost
     assert cost("") == 0 and cost("password") < 1.5 and cost("aaaaaaaaaaaa") < 4 and cost("qwertyuiop") < 6 and cost("19991231") < 6 and cost("abcabcabcabc") < 6
