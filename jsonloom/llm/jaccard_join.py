@@ -319,7 +319,7 @@ def _hubs(post: DataFrame) -> DataFrame:
 
 
 def _links(texts: DataFrame, heads: DataFrame, hot: tuple[np.ndarray, np.ndarray], k: int, percent: int) -> DataFrame:
-    """Links (a, b) that join every two classes that similar pairs connect."""
+    """Links (a, b) that join every two classes that similar pairs connect: of the first pass, each class with the root it has by then."""
     fits = F.least("n", "m") * 100 >= percent * F.greatest("n", "m")
     prefixes = table(_prefixes(texts, k, percent, hot).join(heads, "id", "left_semi"))  # copies are not compared
     post = table(_postings(prefixes, bloom(_shared_shingles(prefixes), SHINGLE_BITS)))
@@ -347,6 +347,6 @@ def _links(texts: DataFrame, heads: DataFrame, hot: tuple[np.ndarray, np.ndarray
     rest = met.groupBy("a", "b").agg(F.sum("w").alias("c"), F.min(F.least("la", "lb")).alias("l")).where("c >= l").select("a", "b")
     again = table(rest.join(pairs, ["a", "b"], "left_anti"))
     more = _linked(again, texts, k, percent)
-    for t in (left, named, some, post, prefixes, pairs, maybe, roots, again):
+    for t in (left, named, some, post, prefixes, pairs, maybe, links, again):
         drop_table(t)
-    return links.unionByName(more)
+    return roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)
