@@ -9,16 +9,16 @@ A vector has two parts:
 
 * ``EQUAL`` = 16 lanes modulo 2**32, cut from two SHA-256 digests of the whole
   paragraph: equality of multisets.
-* ``LIKE`` = 96 lanes modulo 2**14, and a count. Each clause of the paragraph
+* ``LIKE`` = 96 lanes modulo 2**30, and a count. Each clause of the paragraph
   (what lies between punctuation) adds one hash bit to each lane. A lane that
   counts c ones among n clauses stands for 2c - n, a sum of random signs, and
   the cosine of two such vectors estimates the cosine of the clause multisets.
 
-Lanes of the second part stand four to a 64-bit word, 16 bits apart, and are
-masked after each addition, which is the reduction modulo 2**14.
+Lanes of the second part stand two to a 64-bit word, 32 bits apart, and are
+masked after each addition, which is the reduction modulo 2**30. No text that
+fits a row has as many clauses, so no lane of one wraps.
 
-Likeness is an estimate for texts of under 16,384 clauses: beyond that a lane may
-wrap. A text without punctuation is one clause, like its equals only.
+A text without punctuation is one clause, like its equals only.
 """
 
 from __future__ import annotations
@@ -30,11 +30,11 @@ from pyspark.sql import functions as F
 
 from .common import pick
 
-#: Lanes of 32 bits for equality; words of four 14-bit lanes for likeness, 12 from each half of a clause hash (its low 60 bits).
-EQUAL, HASHES, SHIFTS = 16, 2, 12
-LIKE = HASHES * SHIFTS * 4
-#: Four lanes' lowest bits, and all their bits.
-ONES, LANES = 0x0001000100010001, 0x3FFF3FFF3FFF3FFF
+#: Lanes of 32 bits for equality; words of two 30-bit lanes for likeness, 24 from each half of a clause hash (its low 60 bits).
+EQUAL, HASHES, SHIFTS = 16, 2, 24
+LIKE = HASHES * SHIFTS * 2
+#: Two lanes' lowest bits, and all their bits.
+ONES, LANES = 0x0000000100000001, 0x3FFFFFFF3FFFFFFF
 CLAUSE = "[\\n.,;:!?]+"
 
 
@@ -94,9 +94,8 @@ def likeness(a: Column, b: Column) -> Column:
     def dot(x: Column, y: Column) -> Column:
         def word(i: Column) -> Column:
             u, v, m, k = F.get(x, i), F.get(y, i), F.get(x, F.lit(n)), F.get(y, F.lit(n))
-            # 2c - n from c modulo 2**14, taken next to 0
-            signs = lambda w, c, s: F.pmod(F.shiftright(w, s).bitwiseAND(F.lit(0x3FFF)) * 2 - c + F.lit(1 << 14), F.lit(1 << 15)) - F.lit(1 << 14)
-            return sum((signs(u, m, s) * signs(v, k, s) for s in (16, 32, 48)), signs(u, m, 0) * signs(v, k, 0))
+            signs = lambda w, c, s: F.shiftright(w, s).bitwiseAND(F.lit(0x3FFFFFFF)) * 2 - c
+            return signs(u, m, 0) * signs(v, k, 0) + signs(u, m, 32) * signs(v, k, 32)
 
         return F.aggregate(F.sequence(F.lit(EQUAL), F.lit(n - 1)), F.lit(0).cast("bigint"), lambda acc, i: acc + word(i)).cast("double")
 

@@ -46,7 +46,7 @@ FROM p JOIN g ON p.source IS NOT DISTINCT FROM g.source
 """
 
 
-#: Equal to jsonloom.llm.fingerprint while a document has under 16,384 clauses, as all of the test tables do.
+#: Equal to jsonloom.llm.fingerprint.
 OP4 = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n FROM documents),
 l AS (SELECT *, coalesce(lead(text) OVER w, first_value(text) OVER w) AS next_text, coalesce(lead(doc_id) OVER w, first_value(doc_id) OVER w) AS next_id
@@ -61,12 +61,12 @@ h AS (
 v AS (
   SELECT doc_id, which, len(c) AS m,
          list_transform(range(0, 16), lambda k: (list_sum(list_transform(p, lambda x: ('0x' || substr(x, (8 * k + 1)::INT, 8))::BIGINT)) % 4294967296)::BIGINT) AS equal,
-         list_transform(range(0, 24), lambda k: coalesce(list_sum(list_transform(c, lambda x: (('0x' || substr(x, CASE WHEN k < 12 THEN 1 ELSE 17 END, 15))::BIGINT >> (k % 12)::INT) & ONES)), 0)::BIGINT & LANES) AS words
+         list_transform(range(0, 48), lambda k: coalesce(list_sum(list_transform(c, lambda x: (('0x' || substr(x, CASE WHEN k < 24 THEN 1 ELSE 17 END, 15))::BIGINT >> (k % 24)::INT) & ONES)), 0)::BIGINT & LANES) AS words
   FROM h),
 f AS (
   SELECT doc_id, which,
          list_aggregate(list_transform(equal, lambda x: printf('%08x', x)), 'string_agg', '') || list_aggregate(list_transform(words, lambda x: printf('%016x', x)), 'string_agg', '') || printf('%016x', m) AS fp,
-         flatten(list_transform(words, lambda x: list_transform([0, 16, 32, 48], lambda s: (((x >> s) & 16383) * 2 - m + 16384 + 32768) % 32768 - 16384))) AS signs
+         flatten(list_transform(words, lambda x: list_transform([0, 32], lambda s: ((x >> s) & 1073741823) * 2 - m))) AS signs
   FROM v),
 n AS (SELECT *, list_sum(list_transform(signs, lambda x: x * x))::DOUBLE AS norm FROM f),
 j AS (
@@ -78,7 +78,7 @@ SELECT doc_id, n::BIGINT AS n_chars, sha256(edited) AS edited_sha256, fa AS fing
        CASE WHEN fa = fb THEN 1.0::DOUBLE WHEN na * nb > 0 THEN least(0.999::DOUBLE, greatest(0.0::DOUBLE, ab / sqrt(na * nb))) ELSE 0.0::DOUBLE END AS near_edited,
        CASE WHEN fa = fc THEN 1.0::DOUBLE WHEN na * nc > 0 THEN least(0.999::DOUBLE, greatest(0.0::DOUBLE, ac / sqrt(na * nc))) ELSE 0.0::DOUBLE END AS near_next
 FROM j
-""".replace("ONES", str(0x0001000100010001)).replace("LANES", str(0x3FFF3FFF3FFF3FFF))
+""".replace("ONES", str(0x0000000100000001)).replace("LANES", str(0x3FFFFFFF3FFFFFFF))
 
 
 OP7 = r"""

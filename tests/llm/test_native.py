@@ -79,6 +79,14 @@ def test_fingerprints_add_and_take_away(spark):
     assert r["s"] == r["fz"] and r["t"] == r["fx"]
 
 
+def test_likeness_of_many_equal_clauses(spark):
+    d = spark.createDataFrame([("a. " * 20_000, "a. " * 10_000, "b. " * 20_000)], "x string, y string, z string")
+    for c in "xyz":
+        d = fingerprint.with_fingerprint(d, F.col(c), f"f{c}")
+    r = d.select(fingerprint.likeness(F.col("fx"), F.col("fy")).alias("same"), fingerprint.likeness(F.col("fx"), F.col("fz")).alias("other")).first()
+    assert r["same"] == 0.999 and r["other"] < 0.5
+
+
 def test_hash_is_sha256(spark):
     r = line_dedup.dedup_lines(docs(spark, [(1, "q")])).select(F.sha2("text", 256)).first()[0]
     assert r == hashlib.sha256(b"q").hexdigest()
