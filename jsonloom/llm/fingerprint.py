@@ -105,7 +105,7 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 #: Bytes of text that a range of ids holds about, and the most ranges (what is collected: one id each).
-RANGE, MOST_RANGES = 32 << 20, 8192
+RANGE, MOST_RANGES = 4 << 20, 8192
 
 
 def _ranges(df: DataFrame, id_col: str, text_col: str) -> int:
@@ -129,7 +129,9 @@ def with_next(df: DataFrame, add: Callable[[DataFrame], DataFrame], carried: lis
     # a binary search as a sum: how many cuts are at or under the id
     df = df.withColumn("_block", F.lit(0))
     if cuts:
-        all_cuts, step = F.array(*[F.lit(c) for c in cuts]), 1 << (len(cuts).bit_length() - 1)
+        # one literal once folded: an array of literals takes a minute to plan for thousands of cuts
+        all_cuts = F.split(F.lit(",".join(map(str, cuts))), ",").cast(f"array<{df.schema[id_col].dataType.simpleString()}>")
+        step = 1 << (len(cuts).bit_length() - 1)
         while step:
             df = df.withColumn("_block", F.when(F.coalesce(F.get(all_cuts, F.col("_block") + step - 1) <= F.col(id_col), F.lit(False)), F.col("_block") + step).otherwise(F.col("_block")))
             step >>= 1
