@@ -9,6 +9,10 @@ slots of raw length + 5 whose rest is zero.
 
 from __future__ import annotations
 
+import json
+import re
+import struct
+from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -23,6 +27,11 @@ from .tokens import CLOSES, OPENS, by_doc, footprint, skeleton, tokens
 
 #: Fixed values of the layout.
 TAG_SHIFT, PAYLOAD, COUNT_SHIFT, HEADER, TRAILER = 56, (1 << 56) - 1, 32, 4, 1
+QUOTE, CLOSE, ROOT = b'"}r'
+#: Tokens of a valid document, without separators; what makes a number a double.
+VALUES, FRACTION = re.compile(rb'"[^"\\]*+(?:\\.[^"\\]*+)*+"|[{}\[\]]|[^ \t\n\r{}\[\]:,"]++', re.DOTALL), re.compile(rb"[.eE]")
+#: Bytes of words and records laid out at a time, or those of one document.
+PART = 1 << 20
 
 
 def word(tag: Column, payload: Column) -> Column:
@@ -83,30 +92,83 @@ def tape_words(t: DataFrame) -> DataFrame:
     return body.unionByName(ends)
 
 
-def string_buffer(docs: DataFrame) -> DataFrame:
-    """(doc_id, strings BINARY) of valid documents (doc_id, json); bytes are laid out on Arrow batches."""
-    r = records(tokens(docs)).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("record_offset", "raw_len", "str"))).alias("records"))
-    d = docs.select("doc_id").join(r, "doc_id", "left")
+def lay(text: bytes, words: array, strings: bytearray) -> None:
+    """Adds the tape of one valid document to ``words`` and its records to ``strings``; memory is what is added, and the open brackets."""
+    base, record = len(words), len(strings)
+    words.append(0)
+    opens, children = [], [0]
+    for m in VALUES.finditer(text):
+        t = m[0]
+        c = t[0]
+        if c in b"}]":
+            at, n = opens.pop(), children.pop()
+            # keys are strings too, so a member counts twice
+            words[base + at] = (c - 2) << TAG_SHIFT | min(n // 2 if c == CLOSE else n, MAX_COUNT) << COUNT_SHIFT | (len(words) - base + 1)
+            words.append(c << TAG_SHIFT | at)
+            continue
+        children[-1] += 1
+        if c == QUOTE:
+            words.append(QUOTE << TAG_SHIFT | (len(strings) - record))
+            body = t[1:-1] if b"\\" not in t else json.loads(t).encode()
+            strings += len(body).to_bytes(HEADER, "little")
+            strings += body
+            strings += bytes(len(t) - 2 - len(body) + TRAILER)
+        elif c in b"{[":
+            opens.append(len(words) - base)
+            children.append(0)
+            words.append(0)
+        elif c in b"tfn":
+            words.append(c << TAG_SHIFT)
+        else:
+            words.extend(_number(t))
+    words[base] = ROOT << TAG_SHIFT | (len(words) - base)
+    words.append(ROOT << TAG_SHIFT)
+
+
+def _number(t: bytes) -> tuple[int, int]:
+    """The two words of a number: its kind and its bits, as ``number_kind`` and ``number_bits`` give them."""
+    if len(t) <= 20 and not FRACTION.search(t):
+        n = int(t)
+        if -1 << 63 <= n < 1 << 63:
+            return ord("l") << TAG_SHIFT, n
+        if 0 < n < 1 << 64:
+            return ord("u") << TAG_SHIFT, n - (1 << 64)
+    return ord("d") << TAG_SHIFT, struct.unpack("<q", struct.pack("<d", float(t)))[0]
+
+
+def _laid(docs: DataFrame) -> DataFrame:
+    """(doc_id, tape, strings) of valid documents (doc_id, json), row by row: nothing is shuffled, and no id is read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for held in batch.column("records").to_pylist():
-                parts = []
-                for x in held or ():
-                    text = x["str"].encode()
-                    parts.append((len(text).to_bytes(HEADER, "little") + text).ljust(x["raw_len"] + HEADER + TRAILER, b"\0"))
-                out.append(b"".join(parts))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.binary())], ["doc_id", "strings"])
+            texts, first = batch.column("json"), 0
+            while first < len(texts):
+                words, strings, ends, cuts, at = array("q"), bytearray(), [0], [0], first
+                while at < len(texts) and 8 * len(words) + len(strings) < PART:
+                    lay(texts[at].as_py().encode(), words, strings)
+                    ends.append(len(words))
+                    cuts.append(len(strings))
+                    at += 1
+                tape = pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), pa.Array.from_buffers(pa.int64(), len(words), [None, pa.py_buffer(words)]))
+                held = pa.Array.from_buffers(pa.large_binary(), at - first, [None, pa.py_buffer(array("q", cuts)), pa.py_buffer(strings)])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, at - first), tape.cast(pa.list_(pa.int64())), held.cast(pa.binary())], ["doc_id", "tape", "strings"])
+                first = at
+
+    return docs.select("doc_id", "json").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, tape array<bigint>, strings binary")
+
 
-    return d.select("doc_id", "records").mapInArrow(run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, strings binary")
+def string_buffer(docs: DataFrame) -> DataFrame:
+    """(doc_id, strings BINARY) of valid documents (doc_id, json); bytes are laid out on Arrow batches."""
+    return _laid(docs).select("doc_id", "strings")
 
 
 def documents(docs: DataFrame, json_col: str = "json", id_col: str = "doc_id", options: ParseOptions = ParseOptions()) -> DataFrame:
-    """(doc_id, tape ARRAY<BIGINT>, strings BINARY) of the valid documents: self-contained parsed values."""
-    d = valid(docs, json_col, id_col, options)
-    words = tape_words(tokens(d)).groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "word"))), lambda x: x["word"]).alias("tape"))
-    return words.join(string_buffer(d), "doc_id")
+    """(doc_id, tape ARRAY<BIGINT>, strings BINARY) of the valid documents: self-contained parsed values.
+
+    A row a document, made in its own row, so ids may repeat or be null. The
+    words are those of ``tape_words``.
+    """
+    return _laid(valid(docs, json_col, id_col, options))
 
 
 def record_text(strings: Column, offset: Column) -> Column:

@@ -57,6 +57,24 @@ def test_tape(spark):
     assert [len(x["tape"]) for x in r] == [13, 4, 6, 3] and len(r[2]["strings"]) == 13 and r[2]["strings"][-1] == 0
 
 
+def test_tapes_are_laid_row_by_row(spark):
+    texts = ['{"a":[],"b":{},"c":[{"d":"e,:]}"}]}', "[0,-0,-1.5e-3,1E2,-9223372036854775808,9223372036854775807]", "[9223372036854775808,18446744073709551615,18446744073709551616,-9223372036854775809,123456789012345678901234]", ' [ "é\\u00e9\\ud83d\\ude00\\"\\\\" , "" , null , false ] ', '"x"', "[" * 40 + "]" * 40, '{"k":1,"k":2}']
+    d = docs(spark, *texts)
+    laid = tape.documents(d)
+    plan = laid._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    # the words and records are those of the token table
+    got = {r["doc_id"]: r for r in laid.collect()}
+    words = tape.tape_words(tokens.tokens(d)).orderBy("doc_id", "idx").collect()
+    assert {i: [r["word"] for r in words if r["doc_id"] == i] for i in got} == {i: r["tape"] for i, r in got.items()} and len(got) == len(texts)
+    for r in tape.records(tokens.tokens(d)).collect():
+        held, text = bytes(got[r["doc_id"]]["strings"])[r["record_offset"] :], r["str"].encode()
+        assert held[: r["raw_len"] + 5] == (len(text).to_bytes(4, "little") + text).ljust(r["raw_len"] + 5, b"\0")
+    # ids may repeat or be null
+    same = d.unionByName(docs(spark, "[1", "7")).select(F.when(F.col("doc_id") > 0, 1).alias("doc_id"), "json")
+    assert sorted((r["tape"], bytes(r["strings"])) for r in tape.documents(same).collect()) == sorted((r["tape"], bytes(r["strings"])) for r in [*got.values(), *tape.documents(docs(spark, "7")).collect()])
+
+
 def test_stats(spark):
     r = stats.stats(docs(spark, '{"a":[1,2,null],"é":"x\\n"}', "[]")).orderBy("doc_id").collect()
     assert [tuple(x)[1:] for x in r] == [(8, 5, 3), (1, 0, 0)]
