@@ -5,10 +5,13 @@
 2. Document frequencies of the terms (token ids) are counted over all rests.
 3. Rests are dealt to index shards of bounded size by their rarest terms that
    other rests hold, so that documents alike meet in one. A shard builds an inverted index; each unused document seeds a window, its
-   rarest terms query the index, and the best unused neighbours fill the
-   window greedily. The last one is cut where the window ends, and what is
-   left of it stays in the index. Each shard ends with one window that is not
-   full, so padding is under one window a shard.
+   rarest terms query the index, and its unused neighbours, best first, fill
+   the window greedily. Where they are too few, all of the seed's terms query
+   the index for the rest, so every unused document of the shard that shares a
+   term with the seed is ranked before one that shares none. The last one is
+   cut where the window ends, and what is left of it stays in the index. Each
+   shard ends with one window that is not full, so padding is under one window
+   a shard.
 
 Only ids of rests move, once, to their shards. A shard holds about
 ``SHARD`` tokens, at most twice that, whatever the input; the number of shards
@@ -36,7 +39,7 @@ from pyspark.sql import functions as F
 from .common import pick, table
 from .words import coded, flat, released, slices
 
-#: Tokens of a shard, on average, and terms of a seed's query.
+#: Tokens of a shard, on average, and terms of a seed's first query; the second has all.
 SHARD, TERMS = 2_000_000, 12
 #: Parts of the rests of one rarest term, by their second rarest.
 PARTS = 64
@@ -217,7 +220,7 @@ class Shard:
     """An inverted BM25 index over the rests of one shard."""
 
     def __init__(self, rests: list[np.ndarray], idf: np.ndarray) -> None:
-        self.n = len(rests)
+        self.n, self.rests, self.terms_of_all = len(rests), rests, len(idf)
         lengths = np.array([len(r) for r in rests], np.float32)
         parts = [np.unique(r, return_counts=True) for r in rests]
         doc = np.repeat(np.arange(self.n, dtype=np.int32), [len(t) for t, _ in parts])
@@ -225,6 +228,8 @@ class Shard:
         tf = np.concatenate([c for _, c in parts]).astype(np.float32)
         weight = idf.astype(np.float32)[term]
         impact = weight * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[doc] / max(1.0, lengths.mean())))
+        # by document, for queries of all terms
+        self.by_doc, self.held = (doc, term, impact), self.n
         order = np.argsort(term, kind="stable")
         names, starts = np.unique(term[order], return_index=True)
         self.at = dict(zip(names.tolist(), zip(starts.tolist(), np.append(starts[1:], len(order)).tolist(), strict=True), strict=True))
@@ -237,16 +242,33 @@ class Shard:
         best = best[rank < TERMS]
         self.terms = np.split(term[best], np.searchsorted(doc[best], np.arange(1, self.n)))
 
-    def neighbours(self, seed: int, unused: np.ndarray, most: int = 64) -> np.ndarray:
-        """Unused documents that share a term of the seed's query, best first; the seed is not one of them."""
+    def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
+        """All unused documents that share a term of the seed's query, best first; the seed is not one of them."""
         scores = np.zeros(self.n)
         for t in self.terms[seed].tolist():
             a, b = self.at[t]
             scores[self.doc[a:b]] += self.impact[a:b]  # a document is once in a list
+        return self._ranked(scores, seed, unused)
+
+    def others(self, seed: int, unused: np.ndarray) -> np.ndarray:
+        """All unused documents that share any term with the seed, best first by all of its terms; the seed is not one of them.
+
+        ``unused`` only ever loses documents: when it has lost half of those held by document, they are dropped there.
+        """
+        if 2 * (left := np.count_nonzero(unused)) < self.held:
+            keep = unused[self.by_doc[0]]
+            self.by_doc, self.held = tuple(x[keep] for x in self.by_doc), left
+        doc, term, impact = self.by_doc
+        asked = np.zeros(self.terms_of_all, bool)
+        asked[self.rests[seed]] = True
+        met = asked[term]
+        return self._ranked(np.bincount(doc[met], impact[met], self.n), seed, unused)
+
+    def _ranked(self, scores: np.ndarray, seed: int, unused: np.ndarray) -> np.ndarray:
         scores[~unused] = 0
         scores[seed] = 0
         some = np.nonzero(scores > 0)[0]
-        return some[np.lexsort((some, -scores[some]))[:most]]
+        return some[np.lexsort((some, -scores[some]))]
 
 
 def pack_shard(rests: list[np.ndarray], idf: np.ndarray, window: int = 2048) -> list[list[tuple[int, int, int]]]:
@@ -274,12 +296,12 @@ def pack_shard(rests: list[np.ndarray], idf: np.ndarray, window: int = 2048) ->
             room -= size
 
         place(first)
-        while room and len(near := index.neighbours(pieces[0][0], unused)):  # short ones leave room for more
-            for i in near.tolist():
+        for search in (index.neighbours, index.others):
+            for i in search(first, unused).tolist() if room else ():
                 if not room:
                     break
                 place(i)
-        while room and later < len(rests):  # no neighbour is left: the next unused ones
+        while room and later < len(rests):  # no document that is left shares a term: the next unused ones
             if unused[later]:
                 place(later)
             else:
