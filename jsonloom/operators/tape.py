@@ -23,7 +23,7 @@ from ..functions.scalars import number_kind, unescape
 from ..plans.options import MAX_COUNT, ParseOptions
 from .nodes import valid
 from .stats import number_bits
-from .tokens import CLOSES, OPENS, by_doc, footprint, skeleton, tokens
+from .tokens import CLOSES, OPENS, by_doc, footprint, skeleton
 
 #: Fixed values of the layout.
 TAG_SHIFT, PAYLOAD, COUNT_SHIFT, HEADER, TRAILER = 56, (1 << 56) - 1, 32, 4, 1
